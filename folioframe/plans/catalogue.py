@@ -2,5 +2,143 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import roles
+from ..operators import diff, graph, outline
+from ..sources.tables import OUTLINE, doc_lines, sql, table
+from ..sources.tables import outline as outline_view
+from .dialects import Duck, Spark
+from .statements import STATEMENTS
+
+
+def disposition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = doc_lines(table(spark, sf_dir, "documents"))
+    told = lines.withColumn("disposition", F.coalesce(roles.skip_reason(F.col("text")), F.lit("candidate")))
+    return told.groupBy("disposition").agg(F.count("*").alias("paragraphs"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+def marker_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline_view(spark, sf_dir).select("doc_id", "paragraph_index", roles.marker_type(F.col("text")).alias("marker"))
+
+
+def literal_marker_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.literal_markers(outline_view(spark, sf_dir))
+
+
+def case_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = doc_lines(table(spark, sf_dir, "documents"))
+    return lines.groupBy(roles.case_pattern(F.col("text")).alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def gated_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.gated_roles(outline_view(spark, sf_dir))
+
+
+def sequence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.sequence_violations(outline_view(spark, sf_dir))
+
+
+def neighbor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.unix_timestamp("ts")
+    rows = table(spark, sf_dir, "events").select("user_id", at.alias("a"), (at + F.floor(F.abs("value"))).alias("b"))
+    return outline.merge_intervals(rows, "user_id", "a", "b")
+
+
+def prop_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    up = F.floor(k / 7)
+    nodes = table(spark, sf_dir, "part").select(k, F.when(up > 0, up).alias("parent"), F.when(k % 5 == 0, F.col("p_brand")).alias("brand"), F.when(k % 3 == 0, F.col("p_size")).alias("size"))
+    return graph.inherit(nodes, "p_partkey", "parent", ["brand", "size"])
+
+
+def _after(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    price = F.when(k % 11 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    status = F.when(k % 13 == 0, F.lit(None)).otherwise(F.col("o_orderstatus"))
+    kept = orders.where(k % 17 != 0).withColumn("o_totalprice", price).withColumn("o_orderstatus", status)
+    return kept.unionByName(orders.where(k % 19 == 0).withColumn("o_orderkey", -k - 1))
+
+
+def before_after_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return diff.changes(orders, _after(orders), "o_orderkey", ["o_totalprice", "o_orderstatus"])
+
+
+def allowed_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.disallowed(before_after_diff(spark, sf_dir), ["o_totalprice"])
+
+
+_FRAME = (disposition_audit, marker_type, literal_marker_parse, case_pattern, gated_roles, sequence_violations, neighbor_text, interval_merge, prop_inherit, before_after_diff, allowed_diff)
+
+
+def _said(text: str):
+    return lambda spark, sf_dir: sql(spark, sf_dir, text)
+
+
+QUERIES = {f.__name__: f for f in _FRAME} | {name: _said(f(Spark)) for name, f in STATEMENTS.items()}
+
+_LOW = "lower(t)"
+_CLEAN = "regexp_replace(coalesce({x}, ''), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
+_MARKER = """CASE WHEN regexp_matches(t, '^[A-Z][.)][ \\t\\x{00A0}]') THEN 'upper_alpha' WHEN regexp_matches(t, '^[0-9]{1,3}[.][ \\t\\x{00A0}]') THEN 'number'
+    WHEN regexp_matches(t, '^[a-z][.][ \\t\\x{00A0}]') THEN 'lower_alpha' WHEN regexp_matches(t, '^[0-9]{1,3}[)][ \\t\\x{00A0}]') THEN 'deep_5' WHEN regexp_matches(t, '^[a-z][)][ \\t\\x{00A0}]') THEN 'deep_6'
+    WHEN regexp_matches(t, '^[(][0-9]{1,3}[)][ \\t\\x{00A0}]') THEN 'deep_7' WHEN regexp_matches(t, '^[(][a-z][)][ \\t\\x{00A0}]') THEN 'deep_8' END"""
+_FREE = """CASE WHEN regexp_matches(t, '(?i)^SECTION[ \\t]*-?[ \\t]*[0-9]{2} ?-?[0-9]{2} ?-?[0-9]{2}') THEN 'SectionID' WHEN regexp_matches(t, '(?i)^END OF (SECTION|DIVISION)') THEN 'END_OF_SECTION'
+    WHEN regexp_matches(t, '(?i)^PART[ \\t]+([0-9]+|[IVXLC]+)[ \\t]*[-:]?[ \\t]*[A-Z]') THEN 'PART' WHEN regexp_matches(t, '^[0-9]{1,2}[.][0-9]{2,3}[ \\t]+[^ ]') THEN 'ARTICLE' WHEN m = 'upper_alpha' THEN 'PARAGRAPH' END"""
+_MARKED = f"o AS ({OUTLINE}), p AS (SELECT doc_id, paragraph_index, {_CLEAN.format(x='text')} AS t FROM o), q AS (SELECT *, {_MARKER} AS m FROM p)"
+_LABEL = "regexp_extract(t, '^([(]?)([A-Za-z]|[0-9]{1,3})[.)]+[ \\t]+', 2)"
+_NUMBER = f"CASE WHEN regexp_matches({_LABEL}, '^[0-9]+$') THEN CAST({_LABEL} AS BIGINT) ELSE CAST(ascii(upper({_LABEL})) - 64 AS BIGINT) END"
+# The state machine itself, row by row: alpha, numeric.
+_GATED = f"""RECURSIVE {_MARKED}, e AS (SELECT *, {_FREE} AS f FROM q),
+  s(doc_id, i, alpha, num, role) AS (
+    SELECT doc_id, CAST(-1 AS BIGINT), false, false, CAST(NULL AS VARCHAR) FROM e WHERE paragraph_index = 0
+    UNION ALL
+    SELECT doc_id, i, CASE WHEN role = 'PARAGRAPH' THEN true WHEN role IN ('SectionID', 'SectionTitle', 'PART', 'ARTICLE', 'END_OF_SECTION') THEN false ELSE alpha END,
+           CASE WHEN role = 'SUBPARAGRAPH' THEN true WHEN role IN ('PARAGRAPH', 'SectionID', 'SectionTitle', 'PART', 'ARTICLE', 'END_OF_SECTION') THEN false ELSE num END, role
+    FROM (SELECT e.doc_id, e.paragraph_index AS i, s.alpha, s.num,
+      CASE WHEN e.f IS NOT NULL THEN e.f WHEN e.m = 'deep_5' AND alpha THEN 'SUBPARAGRAPH_LEVEL_5' WHEN e.m = 'deep_6' AND alpha THEN 'SUBPARAGRAPH_LEVEL_6' WHEN e.m = 'deep_7' AND alpha THEN 'SUBPARAGRAPH_LEVEL_7'
+           WHEN e.m = 'deep_8' AND alpha THEN 'SUBPARAGRAPH_LEVEL_8' WHEN e.m = 'number' AND alpha THEN 'SUBPARAGRAPH' WHEN e.m = 'lower_alpha' AND num THEN 'SUBSUBPARAGRAPH' END AS role
+      FROM s JOIN e ON e.doc_id = s.doc_id AND e.paragraph_index = s.i + 1) t)"""
+_AFTER = """a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 17 <> 0
+    UNION ALL SELECT -o_orderkey - 1, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 19 = 0),
+  d AS (SELECT coalesce(b.o_orderkey, a.k) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN b.o_totalprice IS DISTINCT FROM a.p OR b.o_orderstatus IS DISTINCT FROM a.s THEN 'changed' END AS kind,
+    b.o_totalprice IS DISTINCT FROM a.p AS dp, b.o_orderstatus IS DISTINCT FROM a.s AS ds FROM orders b FULL OUTER JOIN a ON b.o_orderkey = a.k),
+  r AS (SELECT o_orderkey, kind, CASE WHEN kind = 'changed' THEN concat_ws(',', CASE WHEN dp THEN 'o_totalprice' END, CASE WHEN ds THEN 'o_orderstatus' END) ELSE '' END AS changed FROM d WHERE kind IS NOT NULL)"""
+
+ORACLES = {name: f(Duck) for name, f in STATEMENTS.items()} | {
+    "disposition_audit": f"""
+        WITH l AS ({Duck.lines}), c AS (SELECT doc_id, line, {_CLEAN.format(x='line')} AS t FROM l)
+        SELECT CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '^\\[[^\\[\\]]*\\]$') OR regexp_matches({_LOW}, '^(spec(ification)? )?(editor|specifier)(''s)? (note|instruction)s?:') THEN 'editor_note'
+          WHEN regexp_matches({_LOW}, 'copyright [0-9]{{4}} by|^all rights reserved|^licensed under|^copyright') THEN 'copyright_notice'
+          WHEN regexp_matches({_LOW}, '^(retain|revise|verify section|see editing instruction)') OR (regexp_matches({_LOW}, '(sub)?paragraphs? below') AND regexp_matches({_LOW}, 'retain|revise|delete|insert')) THEN 'specifier_note'
+          ELSE 'candidate' END AS disposition, count(*) AS paragraphs, count(DISTINCT doc_id) AS docs, CAST(sum(length(line)) AS BIGINT) AS chars FROM c GROUP BY 1""",
+    "marker_type": f"WITH {_MARKED} SELECT doc_id, paragraph_index, m AS marker FROM q",
+    "literal_marker_parse": f"WITH {_MARKED} SELECT doc_id, paragraph_index, m AS marker, {_LABEL} AS label, {_NUMBER} AS ordinal, regexp_replace(t, '^([(]?)([A-Za-z]|[0-9]{{1,3}})[.)]+[ \\t]+', '') AS body FROM q WHERE m IS NOT NULL",
+    "case_pattern": f"""
+        WITH l AS ({Duck.lines}), a AS (SELECT regexp_replace(coalesce(line, ''), '[^A-Za-z ]', '', 'g') AS x FROM l), w AS (SELECT x, list_filter(regexp_split_to_array(x, ' +'), lambda y: y <> '') AS ws FROM a)
+        SELECT CASE WHEN len(ws) = 0 THEN 'none' WHEN x = upper(x) THEN 'upper' WHEN x = lower(x) THEN 'lower' WHEN len(list_filter(ws, lambda y: y <> concat(upper(y[1]), lower(y[2:])))) = 0 THEN 'title' ELSE 'mixed' END AS pattern, count(*) AS n FROM w GROUP BY 1""",
+    "gated_roles": f"WITH {_GATED} SELECT doc_id, i AS paragraph_index, role FROM s WHERE i >= 0",
+    "sequence_violations": f"""
+        WITH {_GATED}, n AS (SELECT s.doc_id, s.i, s.role, {_NUMBER.replace('(t,', '(q.t,')} AS ord, CASE s.role WHEN 'PARAGRAPH' THEN 3 WHEN 'SUBPARAGRAPH' THEN 4 WHEN 'SUBSUBPARAGRAPH' THEN 5 WHEN 'PART' THEN 1 WHEN 'ARTICLE' THEN 2 WHEN 'SectionID' THEN 0 WHEN 'END_OF_SECTION' THEN 0 ELSE 6 END AS lvl
+          FROM s JOIN q ON q.doc_id = s.doc_id AND q.paragraph_index = s.i WHERE s.role IS NOT NULL),
+        c AS (SELECT x.doc_id, x.i, x.role, x.ord, (SELECT count(*) FROM n y WHERE y.doc_id = x.doc_id AND y.i < x.i AND y.lvl < x.lvl) AS inst FROM n x WHERE x.lvl BETWEEN 3 AND 5),
+        v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role, inst ORDER BY i) AS want FROM c), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM v WHERE ord <> want)
+        SELECT doc_id, i AS paragraph_index, role, want AS expected, ord AS found FROM w WHERE rn = 1""",
+    "neighbor_text": "SELECT conv_id, turn, substr(lag(text) OVER w, 1, 80) AS prev_text, substr(lead(text) OVER w, 1, 80) AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    "interval_merge": """
+        WITH r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) + floor(abs(value)) AS BIGINT) AS b FROM events),
+        f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM r),
+        i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
+        SELECT user_id, min(a) AS start_at, max(b) AS end_at, count(*) AS n FROM i GROUP BY user_id, island""",
+    "prop_inherit": """
+        WITH RECURSIVE up(k, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, CAST(floor(node / 7) AS BIGINT), depth + 1 FROM up WHERE node >= 7),
+        j AS (SELECT up.k, up.depth, CASE WHEN node % 5 = 0 THEN p_brand END AS brand, CASE WHEN node % 3 = 0 THEN p_size END AS size FROM up JOIN part ON part.p_partkey = up.node)
+        SELECT k AS p_partkey, arg_min(brand, depth) FILTER (brand IS NOT NULL) AS brand, arg_min(size, depth) FILTER (size IS NOT NULL) AS size FROM j GROUP BY k""",
+    "before_after_diff": f"WITH {_AFTER} SELECT o_orderkey, kind, changed FROM r",
+    "allowed_diff": f"WITH {_AFTER} SELECT o_orderkey, kind, changed FROM r WHERE kind <> 'changed' OR changed <> 'o_totalprice'",
+}
