@@ -89,7 +89,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``kept``.  Null text counts as empty.  An empty table gives an empty result.
     """
     own = cut(identities(df, id_col, text_col))
-    groups = own.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Materialised, so that the join deals both sides anew and a hot group's rows can be split.
+    groups = cut(own.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     joined = own.join(groups, ["level", "name"])
     each = joined.select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
