@@ -45,6 +45,14 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bind(value: Column, body) -> Column:
     """``let value in body``: evaluates ``value`` once for use inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, spare, text_or_empty
 
 #: Bytes of a block.
 BLOCK_BYTES = 1024
@@ -102,10 +102,11 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that repeat both id and text come back once.
     """
-    kept = exact_duplicates(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = df.withColumn("__own_sha", F.sha2(text_or_empty(text_col).cast("binary"), 256))
-    once = marked.dropDuplicates([id_col, "__own_sha"]) if _repeats(marked, id_col) else marked
-    return once.join(kept, once[id_col].eqNullSafe(F.col("__id")) & (F.col("__own_sha") == F.col("__sha")), "left_semi").drop("__own_sha")
+    sha, keep_id, keep_sha = (spare(df, n) for n in ("sha", "keep_id", "keep_sha"))
+    kept = exact_duplicates(df, id_col, text_col).where("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
+    marked = df.withColumn(sha, F.sha2(text_or_empty(text_col).cast("binary"), 256))
+    once = marked.dropDuplicates([id_col, sha]) if _repeats(marked, id_col) else marked
+    return once.join(kept, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(sha) == F.col(keep_sha)), "left_semi").drop(sha)
 
 
 def _repeats(df: DataFrame, id_col: str) -> bool:

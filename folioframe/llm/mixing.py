@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, text_or_empty
+from .common import WORD, cut, spare, text_or_empty
 
 #: A source's target is at most so many times its size.
 CAP = 3
@@ -193,12 +193,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 0) -> DataFrame:
     """The rows of ``df``, all columns, each as often as the mix takes it."""
+    size, copy, times = (spare(df, n) for n in ("own_size", "own_copy", "times"))
+    of_id, of_source, of_size, of_copy = (spare(df, f"took_{n}") for n in ("id", "source", "size", "copy"))
     took = cut(_decided(df, id_col, text_col, source_col, weights, cap, seed).where("copies > 0"))
-    took = took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copy").alias("__copy"), "copies").withColumnRenamed("copies", "__copies")
-    sized = df.withColumn("__own_size", F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long"))
-    if took.where("__copy > 1").isEmpty() and df.groupBy(id_col).count().where("count > 1").isEmpty():
-        sized = sized.withColumn("__own_copy", F.lit(1).cast("long"))
+    took = took.select(F.col("doc_id").alias(of_id), F.col("source").alias(of_source), F.col("size").alias(of_size), F.col("copy").alias(of_copy), F.col("copies").alias(times))
+    sized = df.withColumn(size, F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long"))
+    if df.groupBy(id_col).count().where("count > 1").isEmpty():
+        sized = sized.withColumn(copy, F.lit(1).cast("long"))
     else:  # rows that repeat id, source and size are told apart by their order
-        sized = sized.withColumn("__own_copy", F.row_number().over(Window.partitionBy(id_col, source_col, "__own_size").orderBy(text_col)).cast("long"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__own_size") == F.col("__size")) & (F.col("__own_copy") == F.col("__copy"))
-    return sized.join(took, same).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*df.columns)
+        sized = sized.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, source_col, size).orderBy(text_col)).cast("long"))
+    same = F.col(id_col).eqNullSafe(F.col(of_id)) & F.col(source_col).eqNullSafe(F.col(of_source)) & (F.col(size) == F.col(of_size)) & (F.col(copy) == F.col(of_copy))
+    every = spare(df, "every")
+    return sized.join(took, same).withColumn(every, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*df.columns)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text
+from .common import cut, per_text, spare
 from .components import components
 
 #: Bits in which linked fingerprints may differ.
@@ -150,5 +150,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows without an id stay.
     """
-    kept = near_duplicates(df, id_col, text_col, words_per_shingle, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    return df.join(kept, df[id_col] == F.col("__id"), "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    keep_id = spare(df, "keep_id")
+    kept = near_duplicates(df, id_col, text_col, words_per_shingle, threshold).where("doc_id = component_id").select(F.col("doc_id").alias(keep_id))
+    return df.join(kept, F.col(id_col) == F.col(keep_id), "left_semi").unionByName(df.where(F.col(id_col).isNull()))

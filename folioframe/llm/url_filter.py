@@ -40,7 +40,7 @@ _SYLLABLES = "ther tion ing ed re on an en th ou st er at es or ha nd ti ble wh
 _SUFFIXES = "com net org info example.org example.net example.com".split()
 
 
-def labelled_urls(n: int = 480, seed: int = 3) -> list[tuple[str, int]]:
+def labelled_urls(n: int = 1200, seed: int = 3) -> list[tuple[str, int]]:
     """A small table (url, 1 = block), made by rule: unwanted words in hosts or paths against ordinary names."""
     rng, rows = random.Random(seed), []
     for i in range(n):
