@@ -17,13 +17,14 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import per_text
 
 #: Words held by one generation of a worker's memo; two generations are kept.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 50_000
 
 _FRAGMENT = re.compile("[^ \t\n\r\f\v]+")
 #: Letters for which lower-casing and the word pattern below agree with the
@@ -149,7 +150,7 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text_col: str = "text", kee
 
     def row(text):
         got = encoder(tokenizer_path).encode(text or "")
-        return _count(got), [int(x) for x in got[0].split()], got[1]
+        return _count(got), np.array(got[0].split(), dtype=np.int32), got[1]
 
     fields = [("n_tokens", "long", pa.int64()), ("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())]
     return per_text(df, text_col, keep, fields, row)

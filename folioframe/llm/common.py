@@ -59,7 +59,7 @@ def bind(value: Column, body) -> Column:
 
 
 #: Rows handed on in one Arrow batch by ``per_text``.
-ROWS_PER_BATCH = 2_000
+ROWS_PER_BATCH = 500
 
 
 def per_text(df: DataFrame, text_col: str, keep: tuple[str, ...], fields: list[tuple[str, str, pa.DataType]], row: Callable[[str | None], tuple]) -> DataFrame:
