@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import token_lengths
+from .common import cut
 
 #: Lengths that one task sums up together.
 BLOCK = 4096
@@ -33,8 +34,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     ``n_tokens, docs, tokens, docs_from, tokens_from, docs_to, truncated_tokens``:
     documents and tokens of this length, of at least this length, documents of
     at most this length, and the corpus's tokens if every text is cut at it.
+    The histogram is materialised once: it is read twice, and behind it lies
+    the encoding of the whole corpus.
     """
-    rows = histogram.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
+    rows = cut(histogram).select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     zero = F.lit(0).cast("long")
