@@ -16,7 +16,7 @@ from .bpe import token_lengths
 from .common import cut
 
 #: Lengths that one task sums up together.
-BLOCK = 4096
+BLOCK = 128
 
 
 def length_histogram(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
