@@ -12,12 +12,14 @@ def _stars(pairs: DataFrame) -> DataFrame:
     """One large-star and one small-star step over ``(big, small)``, big > small.
 
     A node's neighbours are told the least node among them; the grouped minimum
-    is pre-aggregated, so a node with very many links is a few rows a task.
+    is pre-aggregated, so a node with very many links is a few rows a task.  The
+    minima are materialised, so that the joins deal both sides anew and the
+    links of such a node can be split among tasks.
     """
     both = pairs.select(F.col("big").alias("node"), F.col("small").alias("near")).unionByName(pairs.select(F.col("small").alias("node"), F.col("big").alias("near")))
-    least = both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("least"))
-    large = both.where("near > node").join(least, "node").select(F.col("near").alias("big"), F.col("least").alias("small")).distinct()
-    low = large.groupBy("big").agg(F.min("small").alias("least"))
+    least = cut(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("least")))
+    large = cut(both.where("near > node").join(least, "node").select(F.col("near").alias("big"), F.col("least").alias("small")).distinct())
+    low = cut(large.groupBy("big").agg(F.min("small").alias("least")))
     told = large.join(low, "big")
     small = told.select(F.col("small").alias("big"), F.col("least").alias("small")).where("big > small")
     return small.unionByName(low.select("big", F.col("least").alias("small"))).distinct()
