@@ -9,7 +9,7 @@ from ..functions import roles
 from ..operators import diff, graph, outline
 from ..sources.tables import OUTLINE, doc_lines, sql, table
 from ..sources.tables import outline as outline_view
-from . import contracts  # noqa: F401  adds its statements
+from . import contracts, transforms  # noqa: F401  they add their statements
 from .dialects import Duck, Spark
 from .statements import STATEMENTS
 
