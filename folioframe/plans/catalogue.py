@@ -58,6 +58,24 @@ def prop_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.inherit(nodes, "p_partkey", "parent", ["brand", "size"])
 
 
+def _ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``k, node, depth`` for all parts, a part's parent being a seventh of its key."""
+    k = F.col("p_partkey")
+    up = F.floor(k / 7)
+    return graph.closure(table(spark, sf_dir, "part").select(k.alias("k"), F.when(up > 0, up).alias("up")), "k", "up")
+
+
+def dep_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ancestors(spark, sf_dir).groupBy("k").agg(F.count("*").alias("nodes"), F.min("node").alias("root"), F.max("depth").cast("long").alias("depth"))
+
+
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _ancestors(spark, sf_dir).where("node % 5 = 0").groupBy("k").agg(F.min("depth").alias("depth"))
+    told = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size").join(near, "k", "left")
+    literal = F.when(F.col("p_size") % 2 == 0, "text_literal").otherwise("none")
+    return told.select("k", F.when(F.col("depth") == 0, "direct").when(F.col("depth") > 0, "style").otherwise(literal).alias("provenance"))
+
+
 def _after(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     price = F.when(k % 11 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
@@ -75,14 +93,14 @@ def allowed_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.disallowed(before_after_diff(spark, sf_dir), ["o_totalprice"])
 
 
-_FRAME = (disposition_audit, marker_type, literal_marker_parse, case_pattern, gated_roles, sequence_violations, neighbor_text, interval_merge, prop_inherit, before_after_diff, allowed_diff)
+_FRAME = (disposition_audit, marker_type, literal_marker_parse, case_pattern, gated_roles, sequence_violations, neighbor_text, interval_merge, prop_inherit, dep_closure, provenance, before_after_diff, allowed_diff)
 
 
 def _said(text: str):
     return lambda spark, sf_dir: sql(spark, sf_dir, text)
 
 
-QUERIES = {f.__name__: f for f in _FRAME} | {name: _said(f(Spark)) for name, f in STATEMENTS.items()}
+QUERIES = {name: _said(f(Spark)) for name, f in STATEMENTS.items()} | {f.__name__: f for f in _FRAME}
 
 _LOW = "lower(t)"
 _CLEAN = "regexp_replace(coalesce({x}, ''), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
