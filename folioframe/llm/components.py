@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_or_empty
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -43,3 +43,16 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
         total = now
     roots = pairs.select(F.col("small").alias("node"), F.col("small").alias("root")).distinct()
     return pairs.select(F.col("big").alias("node"), F.col("small").alias("root")).unionByName(roots)
+
+
+def one_of_each(rows: DataFrame, key: str, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The ``rows`` without all but one of each group that ``roots`` (node, root) makes of their ``key``.
+
+    The row with the least id stays, nulls after all ids; of one id the one with
+    the least text digest, then any one of equal rows.  Rows in no group stay.
+    """
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("sha"), F.col(key).alias("key"))
+    told = roots.join(rows.select(F.col(key).alias("node"), order.alias("order")), "node")
+    first = told.groupBy("root").agg(F.min("order").alias("first")).select(F.col("first.key").alias("node"))
+    gone = cut(roots.select("node").join(first, "node", "left_anti"))
+    return rows.join(gone.select(F.col("node").alias(key)), key, "left_anti")

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text, spare
-from .components import components
+from .common import cut, per_text, spare, stored
+from .components import components, one_of_each
 
 #: Bits in which linked fingerprints may differ.
 THRESHOLD = 2
@@ -113,6 +113,8 @@ def links(fingerprints: DataFrame, fp_col: str = "fp", threshold: int = THRESHOL
     ``fp_col`` holds 64-bit integers; repeats and nulls are folded away.
     """
     own = fingerprints.where(F.col(fp_col).isNotNull()).select(F.col(fp_col).cast("long").alias("fp")).distinct()
+    # Dealt by number: so few bytes would else be merged into a task or two before each row becomes 69.
+    own = own.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     homes = own.mapInArrow(_placed(None), "fp long, anchor long").select("anchor", F.col("fp").alias("x"))
     others = own.mapInArrow(_placed(threshold), "fp long, anchor long").select("anchor", F.col("fp").alias("y"))
     apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
@@ -146,10 +148,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` whose id is the least of their component: one document of each group.
+    """One row of ``df`` of each component: the one with the least id, nulls after all ids.
 
-    Rows without an id stay.
+    Of one id the least text digest stays, then any one of equal rows, so that
+    repeated ids and rows without one leave one row of a component, too.
     """
-    keep_id = spare(df, "keep_id")
-    kept = near_duplicates(df, id_col, text_col, words_per_shingle, threshold).where("doc_id = component_id").select(F.col("doc_id").alias(keep_id))
-    return df.join(kept, F.col(id_col) == F.col(keep_id), "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    key = spare(df, "row_key")
+    rows = stored(df.withColumn(key, F.monotonically_increasing_id()))
+    own = cut(near_duplicates(rows, key, text_col, words_per_shingle, threshold))
+    return one_of_each(rows, key, own.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")), id_col, text_col).select(*df.columns)
