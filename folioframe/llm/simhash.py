@@ -122,6 +122,13 @@ def links(fingerprints: DataFrame, fp_col: str = "fp", threshold: int = THRESHOL
     return met.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
 
 
+def anchors(fingerprints: DataFrame, fp_col: str = "fp") -> DataFrame:
+    """The columns of ``fingerprints`` and ``anchor``, the code's anchor nearest to the 64-bit ``fp_col`` (null: null)."""
+    own = fingerprints.where(F.col(fp_col).isNotNull()).select(F.col(fp_col).cast("long").alias("fp")).distinct()
+    homes = own.mapInArrow(_placed(None), "fp long, anchor long")
+    return fingerprints.join(homes.withColumnRenamed("fp", "own_fp"), F.col(fp_col) == F.col("own_fp"), "left").drop("own_fp")
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (signed 64-bit) of every row's whole text."""
     own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
