@@ -18,6 +18,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import SPACE, bind, cut, text_or_empty
 
@@ -112,10 +113,17 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.withColumn("fingerprint", packed(F.col("bins")))
 
 
-def _ranges(ids: DataFrame, n: int) -> list:
-    """At most ``n - 1`` ids that cut the table into ranges of about equal rows."""
+def _place(rows: DataFrame) -> Column:
+    """A number that never falls as ``doc_id`` rises: the id itself, or the first seven bytes of any other than a number."""
+    if isinstance(rows.schema["doc_id"].dataType, NumericType):
+        return F.col("doc_id")
+    return F.conv(F.rpad(F.substring(F.hex(F.col("doc_id").cast("string")), 1, 14), 14, "0"), 16, 10).cast("long")
+
+
+def _ranges(places: DataFrame, n: int) -> list:
+    """At most ``n - 1`` places that cut the table into ranges of about equal rows."""
     at = [i / n for i in range(1, n)]
-    got = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(100 * n)).alias("q")).first()[0] or []
+    got = places.agg(F.percentile_approx("place", F.array(*map(F.lit, at)), F.lit(100 * n)).alias("q")).first()[0] or []
     return sorted({x for x in got if x is not None})
 
 
@@ -126,23 +134,24 @@ def _range_of(bounds: list) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        return F.when(F.col("doc_id") <= F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
+        return F.when(F.col("place") <= F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
 
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(tree(0, len(bounds)))
+    return F.when(F.col("place").isNull(), 0).otherwise(tree(0, len(bounds)))
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried=None) -> DataFrame:
     """``doc_id, text, next_text`` (and ``next_<carried>``): the document after each in ascending id.
 
-    After the last comes the first.  Null ids come before all others; rows with
+    After the last comes the first.  Ids may be numbers or text.  Null ids come before all others; rows with
     one id follow each other by text.  Null text counts as empty.  A single row
     is its own next.  ``carried``: (name, function of the text column) computed
     once per text and handed on as well.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     n = RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _ranges(rows.select("doc_id"), n)
-    ranged = rows.withColumn("range", _range_of(bounds))
+    rows = rows.withColumn("place", _place(rows))
+    bounds = _ranges(rows.select("place"), n)
+    ranged = rows.withColumn("range", _range_of(bounds)).drop("place")
     # The least row of each range (ranges are as many as ``bounds``) goes to the range before it, too.
     least = ranged.groupBy("range").agg(F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("has_null"))
     least = cut(least.withColumn("first_id", F.when(F.col("has_null"), None).otherwise(F.col("first_id"))))
@@ -166,6 +175,9 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``.  The edited text has its last floor(n_chars / 2)
     code points replaced by the first as many (or all) of the next document.
+    Null text counts as empty; the next of a row, also of a null or repeated id
+    and of a single row, is as ``with_next`` says; an empty table gives an empty
+    one.  Equal texts have equal fingerprints, texts without words the empty one.
     """
     orders = _permutations()
     told = with_next(df, id_col, text_col, ("bins", lambda text: values(text, orders)))

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Container
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +28,15 @@ from .html_pages import MARK, labelled_pages
 
 #: Labelled pages the chain is trained on; a bound of the training data.
 TRAINING_PAGES = 600
+#: Pages that must show a feature before it gets a weight.
+LEAST_PAGES = 3
 
-# Tags that hold no article text, tags that break no block, tags without an end.
-_RAW = ("script", "style", "title", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "head-raw")
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Tags whose contents are no text, those of them that run to the
+# end of the page if unclosed, tags that break no block, tags without an end.
+_RAW = ("script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "object", "canvas")
+_RAW_TO_END = frozenset(_RAW[:5])
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img area base embed input link meta param source track".split())
+_VOID = frozenset("col hr".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
@@ -39,27 +45,33 @@ _NAME_WORD = re.compile(r"[a-z]+")
 
 
 class Block:
-    """A leaf block: its text and its features."""
+    """A leaf block: its text, the features of its ancestors (shared between blocks) and its own."""
 
-    __slots__ = ("text", "features")
+    __slots__ = ("text", "above", "own")
 
-    def __init__(self, text: str, features: tuple[str, ...]):
-        self.text, self.features = text, features
+    def __init__(self, text: str, above: tuple[str, ...], own: tuple[str, ...]):
+        self.text, self.above, self.own = text, above, own
 
+    @property
+    def features(self) -> tuple[str, ...]:
+        return (*self.above, *self.own)
 
-def blocks(page: str) -> list[Block]:
+
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
     """The page's leaf blocks that hold text, in page order.
 
     Character references are decoded, white space is one space.  Unclosed and
     stray tags are borne: an end tag closes up to its opening, or nothing; a
-    paragraph ends where the next block begins.
+    paragraph ends where the next block begins.  Ancestors' features are kept if
+    ``known`` (by default all); an element that adds none shares its parent's,
+    so that time and memory grow with the page and not with its depth.
     """
-    out: list[tuple[str, float, tuple[str, ...], str]] = []
+    out: list[tuple[str, int, tuple[str, ...], str]] = []
     stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    opened, unclosed = Counter(), set()
     parts: list[str] = []
     linked = at = 0
     in_link = False
-    length = len(page)
 
     def close() -> None:
         nonlocal linked
@@ -76,7 +88,7 @@ def blocks(page: str) -> list[Block]:
             parts.append(piece)
             linked += len(piece) * in_link
 
-    while at < length:
+    while at < len(page):
         token = _TOKEN.search(page, at)
         if token is None:
             say(page[at:])
@@ -88,8 +100,12 @@ def blocks(page: str) -> list[Block]:
         tag = token[2].lower()
         if tag in _RAW_END:
             if not token[1]:
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else length
+                end = None if tag in unclosed or token[3].endswith("/") else _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif not token[3].endswith("/"):
+                    unclosed.add(tag)
+                    at = len(page) if tag in _RAW_TO_END else at
                 close()
             continue
         if tag in _INLINE:
@@ -103,18 +119,22 @@ def blocks(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         if token[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened[tag]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
         if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[-1][0] == tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
+        above = stack[-1][1]
         names = [f"name:{w}" for m in _NAMES.finditer(token[3]) for w in _NAME_WORD.findall((m[1] or m[2] or m[3] or "").lower())] if token[3] else []
-        stack.append((tag, stack[-1][1] + (f"in:{tag}", *names)))
+        new = [f for f in dict.fromkeys((f"in:{tag}", *names)) if f not in above and (known is None or f in known)]
+        stack.append((tag, (*above, *new) if new else above))
+        opened[tag] += 1
     close()
     last = len(out) - 1
-    return [Block(text, (*dict.fromkeys(above), f"own:{own}", *_text_features(text, linked, i, last))) for i, (text, linked, above, own) in enumerate(out)]
+    return [Block(text, above, (f"own:{own}", *_text_features(text, linked, i, last))) for i, (text, linked, above, own) in enumerate(out)]
 
 
 def _text_features(text: str, linked: float, i: int, last: int) -> list[str]:
@@ -139,10 +159,12 @@ class Chain:
         """Viterbi: the likeliest labels of a page's blocks (ties: not article)."""
         if not page:
             return []
-        get, (same_out, enter), (leave, same_in) = self.weights.get, *[self.step[:1][0]], self.step[1]
-        out, into, back = 0.0, self.start, []
+        get, (same_out, enter), (leave, same_in) = self.weights.get, *self.step
+        out, into, back, shared = 0.0, self.start, [], {}
         for k, block in enumerate(page):
-            here = sum([get(f, 0.0) for f in block.features])
+            if id(block.above) not in shared:
+                shared[id(block.above)] = sum([get(f, 0.0) for f in block.above])
+            here = shared[id(block.above)] + sum([get(f, 0.0) for f in block.own])
             if k == 0:
                 into += here
                 continue
@@ -155,7 +177,7 @@ class Chain:
         return labels[::-1]
 
     def main_text(self, page: str | None) -> str:
-        own = blocks(page or "")
+        own = blocks(page or "", self.weights)
         return " ".join([b.text for b, keep in zip(own, self.decode(own)) if keep])
 
 
@@ -165,22 +187,22 @@ def train(pages: list[str], rounds: int = 300, rate: float = 0.3, ridge: float =
     labels = [[MARK in b.text for b in p] for p in parsed]
     clean = [blocks(x.replace(MARK, "")) for x in pages]
     clean = [p for p in clean if p]
-    names = sorted({f for p in clean for b in p for f in b.features})
+    held = Counter(f for p in clean for f in {f for b in p for f in b.features})
+    names = sorted(f for f, n in held.items() if n >= LEAST_PAGES)
     index, width, n = {f: i for i, f in enumerate(names)}, max(map(len, clean)), len(clean)
     x = np.zeros((n, width, len(names)), dtype=np.float32)
     y, real = np.zeros((n, width), dtype=int), np.zeros((n, width), dtype=bool)
     for i, (p, own) in enumerate(zip(clean, labels)):
         for k, b in enumerate(p):
             real[i, k], y[i, k] = True, own[k]
-            for f in b.features:
-                x[i, k, index[f]] = 1
-    flat = x.reshape(-1, len(names))
+            x[i, k, [index[f] for f in b.features if f in index]] = 1
+    flat = x[real]
     w, start, step = np.zeros(len(names)), 0.0, np.zeros((2, 2))
     seen = [np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     total = real.sum()
     for _ in range(rounds):
         emit = np.zeros((n, width, 2))
-        emit[:, :, 1] = (flat @ w).reshape(n, width)
+        emit[:, :, 1][real] = flat @ w.astype(np.float32)
         forward, backward = np.zeros((n, width, 2)), np.zeros((n, width, 2))
         forward[:, 0] = emit[:, 0] + [0.0, start]
         for k in range(1, width):
@@ -193,7 +215,7 @@ def train(pages: list[str], rounds: int = 300, rate: float = 0.3, ridge: float =
         norm = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         marginal = np.exp(forward + backward - norm[:, None, None])[:, :, 1] * real
         gap = (y - marginal) * real
-        g_w = (gap.reshape(-1) @ flat) / total - ridge * w
+        g_w = (gap[real].astype(np.float32) @ flat) / total - ridge * w
         g_start = gap[:, 0].mean()
         g_step = np.zeros((2, 2))
         for k in range(1, width):
@@ -219,7 +241,8 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
     """``keep`` columns plus ``text`` (main text, "" if none) and ``n_chars`` (its code points).
 
     Null html counts as empty.  Rows are independent, so repeated rows give
-    repeated results and an empty table an empty one.
+    repeated results and an empty table an empty one.  Pages of any length and
+    depth are read whole; of equally likely labels, not article.
     """
     shared = df.sparkSession.sparkContext.broadcast(chain or trained())
 

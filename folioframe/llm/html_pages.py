@@ -2,8 +2,11 @@
 
 Pages are made by rule from a seed: layouts of menus, headers, notices,
 adverts, sidebars, forms, comments and footers around an article, in invented
-words.  Every piece of text knows whether it belongs to the article, so the
-labels are exact.
+words.  The article stands in a telling element, in one with a name that says
+nothing, in nested ones or in a table's cell, and by-lines, adverts and reader
+comments stand within it, too.  Every piece of text knows whether it belongs to
+the article, so the labels are exact.  ``OTHERS`` are layouts kept out of
+training, to see how the extractor does on pages unlike those it learned from.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ NOISE_NAMES = {
     "notice": ["cookie", "consent", "notice", "alert", "gdpr", "popup", "modal", "subscribe", "newsletter", "paywall"],
     "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "sponsor"],
     "share": ["share", "social", "tags", "meta", "byline", "toolbar"],
+    "byline": ["byline", "author", "dateline", "meta", "posted", "published"],
     "comments": ["comments", "comment", "comment-list", "reply", "discussion", "respond"],
 }
 #: The mark of article text in a generated page (a private-use letter).
@@ -51,8 +55,10 @@ class _Page:
 
     def noise(self, kind: str) -> str:
         rng, name = self.rng, self.rng.choice(NOISE_NAMES[kind])
-        tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "comments": "section"}.get(kind, "div")
-        if rng.random() < 0.5:
+        tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "byline": "header", "comments": "section"}.get(kind, "div")
+        if kind in ("footer", "nav", "header") and rng.random() < 0.1:  # no telling name
+            start, tag = f"<div{self.vague()}>", "div"
+        elif rng.random() < 0.5:
             start, tag = (f"<{tag}>", tag) if kind in ("nav", "header", "footer", "aside") else (f'<div class="{name}">', "div")
         else:
             tag = rng.choice([tag, "div", "section"])
@@ -66,6 +72,7 @@ class _Page:
             "notice": lambda: f"<p>{self.prose(5, 40)}</p><button>{self.label()}</button>",
             "ad": lambda: self.prose(3, 40) if rng.random() < 0.6 else f'<a href="http://ad.example/">{self.prose(3, 15)}</a>',
             "share": lambda: f"<span>{self.label()}</span> <a>{self.label()}</a> <a>{self.label()}</a>",
+            "byline": lambda: f"<p>{self.label()}, <a href='/by'>{self.label()}</a>, {rng.randint(1, 30)}.{rng.randint(1, 12)}.{rng.randint(1999, 2026)}</p>" if rng.random() < 0.5 else f"{self.label()} <time>{rng.randint(1999, 2026)}</time>",
             "comments": lambda: f"<h3>{self.label()}</h3>" + "".join(f'<div class="comment"><b>{self.label()}</b><p>{self.prose(5, 80)}</p></div>' for _ in range(rng.randint(1, 5))),
         }[kind]()
         return f"{start}{prose}</{tag}>"
@@ -73,15 +80,24 @@ class _Page:
     def form(self) -> str:
         return f"<form><label>{self.label()}</label><input><select><option>{self.label()}</option></select><button>{self.label()}</button></form>"
 
+    def vague(self) -> str:
+        """No attribute, or a class that says nothing of its element's content."""
+        rng = self.rng
+        return "" if rng.random() < 0.4 else f' class="{rng.choice(VAGUE)}{rng.choice(["", "-" + rng.choice(VAGUE), str(rng.randint(1, 99))])}"'
+
     def article(self) -> str:
         rng, out = self.rng, []
         mark = lambda t: MARK + t
         if rng.random() < 0.9:
             out.append(f"<h1>{mark(self.prose(1, 12))}</h1>")
+        if rng.random() < 0.2:
+            out.append(self.noise("byline"))
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
             if kind < 0.7:
                 inner = mark(self.prose(1, rng.choice([4, 120])))
+                if rng.random() < 0.15:
+                    inner = f'{inner}<img src="/{rng.randint(1, 9)}.png">'
                 if rng.random() < 0.3:
                     inner = f"<b>{inner}" + ("</b>" if rng.random() < 0.5 else "<br>")
                 out.append(f"<p>{inner}" + ("</p>" if rng.random() < 0.8 else ""))
@@ -97,24 +113,49 @@ class _Page:
                 out.append(f"<pre>{mark(self.prose(2, 20))}</pre>")
             else:
                 out.append(self.noise(rng.choice(["ad", "share", "aside", "notice"])) if rng.random() < 0.8 else self.form())
+        if rng.random() < 0.2:
+            out.append(self.noise("comments"))
         body = "".join(out)
         wrap = rng.random()
-        if wrap < 0.55:
+        if wrap < 0.4:
             return f"<article>{body}</article>"
-        if wrap < 0.7:
+        if wrap < 0.5:
             return f"<main>{body}</main>"
-        if wrap < 0.9:
+        if wrap < 0.65:
             return f'<div {rng.choice(["class", "id"])}="{rng.choice(CONTENT_NAMES)}">{body}</div>'
-        return f"<div>{body}</div>"
+        tags = rng.choices(["div", "section"], weights=[3, 1], k=rng.randint(1, 4))
+        return "".join(f"<{t}{self.vague()}>" for t in tags) + body + "".join(f"</{t}>" for t in reversed(tags))
 
     def html(self) -> str:
         rng = self.rng
         some = lambda kind, p: self.noise(kind) if rng.random() < p else ""
         top = some("notice", 0.2) + some("header", 0.4) + some("nav", 0.7) + some("ad", 0.4) + some("aside", 0.2)
         low = some("share", 0.2) + some("comments", 0.35) + some("aside", 0.3) + some("ad", 0.2) + (self.form() if rng.random() < 0.2 else "") + some("notice", 0.1) + some("footer", 0.8)
-        return f"<html><head><title>{self.label()}</title><style>p{{}}</style></head><body>{top}{self.article()}{low}" + ("</body></html>" if rng.random() < 0.8 else "")
+        inner = f"{top}{self.article()}{low}"
+        if rng.random() < 0.1:  # a table as the page's frame
+            inner = f"<table><tr><td{self.vague()}>{some('nav', 0.8)}{some('aside', 0.5)}</td><td{self.vague()}>{self.article()}</td><td>{some('ad', 0.6)}</td></tr></table>{some('footer', 0.8)}"
+        return f"<html><head><title>{self.label()}</title><style>p{{}}</style></head><body>{inner}" + ("</body></html>" if rng.random() < 0.8 else "")
+
+    def other(self) -> str:
+        """A page of a layout in ``OTHERS``."""
+        rng, mark = self.rng, lambda t: MARK + t
+        prose = "".join(f"<p>{mark(self.prose(20, 120))}</p>" for _ in range(rng.randint(2, 8)))
+        return OTHERS[rng.choice(sorted(OTHERS))].format(title=mark(self.prose(3, 9)), prose=prose, quote=mark(self.prose(8, 30)), nav=self.noise("nav"), footer=self.noise("footer"), comments=self.noise("comments"), byline=self.noise("byline"), links="".join(f'<li><a href="/{i}">{self.label()}</a></li>' for i in range(6)), label=self.label(), small=self.prose(3, 12))
+
+
+#: Class names that say nothing of the content.
+VAGUE = "box wrap inner outer row col grid left center page area block unit cell panel mw parser output container section layout site".split()
+#: Layouts that no training page has.
+OTHERS = {
+    "wiki": '<body><div class="mw-page"><div id="mw-panel"><ul>{links}</ul></div><div class="content-area"><div class="mw-parser-output"><h1>{title}</h1>{prose}<blockquote>{quote}</blockquote></div></div></div>{footer}</body>',
+    "old table": '<body><table width="90%"><tr><td colspan="2">{label}</td></tr><tr><td><ul>{links}</ul></td><td><h2>{title}</h2>{prose}</td></tr><tr><td colspan="2">&copy; {label}. {small}</td></tr></table></body>',
+    "deep": '<body><div id="root"><div><div>{nav}</div><div><div><section><div class="q7"><h1>{title}</h1><div>{byline}</div><div class="z9">{prose}</div><div>{comments}</div></div></section></div></div>{footer}</div></div></body>',
+    "comments inside": "<body>{nav}<article><header><h2>{label}</h2></header>{prose}<section class=\"comments\"><h3>{label}</h3><p>{small}</p></section></article>{footer}</body>",
+    "sections": "<body>{nav}<section><h1>{title}</h1>{byline}{prose}</section><section><h2>{label}</h2><ul>{links}</ul></section>{footer}</body>",
+}
 
 
-def labelled_pages(n: int, seed: int = 7) -> list[str]:
-    """``n`` pages in which article text begins with ``MARK``."""
-    return [_Page(random.Random(f"{seed}/{i}")).html() for i in range(n)]
+def labelled_pages(n: int, seed: int = 7, others: bool = False) -> list[str]:
+    """``n`` pages, or pages of ``OTHERS``, in which article text begins with ``MARK``."""
+    made = (_Page(random.Random(f"{seed}/{i}")) for i in range(n))
+    return [page.other() if others else page.html() for page in made]

@@ -55,15 +55,15 @@ def _codes(text: str) -> np.ndarray:
     return codes[keep]
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """All n-grams as integers: 21 bits a letter, 0 for a word's edge."""
-    if len(codes) < 3:
-        return np.empty(0, np.int64)
-    one, two = codes[codes != 0], (codes[:-1] << 21) | codes[1:]
-    two = two[(codes[:-1] != 0) | (codes[1:] != 0)]
-    three = ((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:])[codes[1:-1] != 0]
+def _grams(codes: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """The n-grams that begin at the first ``starts`` places (by default all), as integers: 21 bits a letter, 0 for a word's edge."""
+    one = codes[:starts]
+    a, b = codes[:-1][:starts], codes[1:][:starts]
+    two = ((a << 21) | b)[(a != 0) | (b != 0)]
+    a, b, c = codes[:-2][:starts], codes[1:-1][:starts], codes[2:][:starts]
+    three = ((a << 42) | (b << 21) | c)[b != 0]
     # the two highest bits tell the lengths apart
-    return np.concatenate([one, two | np.int64(1 << 62), three | np.int64(-(1 << 63))])
+    return np.concatenate([one[one != 0], two | np.int64(1 << 62), three | np.int64(-(1 << 63))])
 
 
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +71,7 @@ def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = _codes(text)
     if len(codes) <= CHUNK:
         return np.unique(_grams(codes), return_counts=True)
-    parts = [np.unique(_grams(codes[i : i + CHUNK + 2]), return_counts=True) for i in range(0, len(codes) - 2, CHUNK)]
-    return _merged(parts)
+    return _merged([np.unique(_grams(codes[i : i + CHUNK + 2], CHUNK), return_counts=True) for i in range(0, len(codes), CHUNK)])
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:

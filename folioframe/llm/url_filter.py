@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import bind
 
 #: Buckets of the hashed n-grams, lengths of the n-grams.
-BUCKETS = 1 << 12
+BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 
 #: (verdict, host, path).  A rule fits its host and all subdomains where the
@@ -33,25 +33,51 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# Words of hosts and paths in the labelled table.
-_BLOCKED = "adult casino cheap-pills escort free-money hot-singles loans lottery payday pharma pills poker porn replica spam spam-farm slots torrent viagra warez win-prize xxx bet crack".split()
-_ALLOWED = "archive blog books city college docs forum garden health history journal kitchen library maps museum music news nature paper physics recipes review school science shop sport travel weather wiki".split()
+# Words of the labelled table.  Unwanted: adult, gambling, drugs,
+# money, goods, fraud, copies.  Bait: words that such hosts add to any other.
+_UNWANTED = (
+    "adult porn porno xxx sex sexy sexcam nude nudes escort escorts milf fetish erotic hookup camgirl webcamsex singles slut "
+    "bet bets bets10 betting sportbet bookmaker casino casinos gamble gambler gambling jackpot lottery lotto poker roulette slot slots blackjack bingo wager "
+    "pill pills pharma meds medz viagra cialis levitra xanax tramadol steroids weed drugs painkillers rx "
+    "loan loans payday cash crypto bitcoin forex pyramid getrich invest millionaire debt "
+    "replica replicas fake fakes counterfeit knockoff spam spamfarm phish phishing scam malware virus trojan keylogger botnet hack hacked hacks "
+    "crack cracked cracks keygen serialz warez torrent torrents nulled pirate iptv"
+).split()
+_BAIT = "cheap free buy hot win prize best fast easy instant money secret login verify account secure update bonus deal now online 24 4u x vip club".split()
+_ORDINARY = (
+    "archive art atlas autumn bakery beta better betty alphabet bicycle bird blog book books bridge cabinet camera castle cello chapel chess city class classic coast cocktail coffee college compass cooking cotton country craft dance design "
+    "docs doctor essex sussex middlesex sextant essence expert exchange farm field film finance flower forest forum garden geology glass government harbor health history horse hospital house institute island jazz journal kitchen lake language "
+    "law library light lunch maps market math medicine medieval meadow metal mountain museum music nature news ocean office opera orchard paint paper park pharmacology photo physics piano pilot plant planet pokeranch poetry pottery press "
+    "radio railway ranch recipes research review river road sail school science seminar shop slotted slope spoons sport station stone street study summer system tax teacher theatre therapist tools torque tourism town travel tree "
+    "university valley village violin walking water weather web wiki winter wood workshop world writing yoga zoology"
+).split()
 _SYLLABLES = "ther tion ing ed re on an en th ou st er at es or ha nd ti ble wh sh ly".split()
+_ONSETS = "b bl br c ch cl cr d dr f fl fr g gl gr h j k kn l m n p pl pr qu r s sc sh sk sl sp st str t th tr tw v w wh y z".split()
+_RIMES = "a ab ack ad ade ain al all am an and ane ar ark art ase ast ate ave ay e ea ead ear eat ed ee eel een en ent er est et ew i ice ick id ide ike ile ill im in ind ine ing ip ite o oad oat ob ock od og oint old on one ong ood ook oom oon op or ore ot ound out ow own u ub uck ue um un up ur ust ut y".split()
 _SUFFIXES = "com net org info example.org example.net example.com".split()
+_PAGES = "about articles en de fr es blog news item page post topic guide help contact".split()
 
 
-def labelled_urls(n: int = 1200, seed: int = 3) -> list[tuple[str, int]]:
-    """A small table (url, 1 = block), made by rule: unwanted words in hosts or paths against ordinary names."""
+def labelled_urls(n: int = 8000, seed: int = 3, part: int | None = None, of: int = 5) -> list[tuple[str, int]]:
+    """A small table (url, 1 = block), made by rule from words of hosts and paths.
+
+    Every ``of``-th word of the unwanted and ordinary ones is left out with
+    ``part`` 0, and only those are used with ``part`` 1: a table to learn from
+    and one of words never learned.  The bait is the same in both.
+    """
     rng, rows = random.Random(seed), []
+    use = lambda words: [w for i, w in enumerate(words) if part is None or (i % of == 0) == bool(part)]
+    unwanted, ordinary = use(_UNWANTED), use(_ORDINARY)
     for i in range(n):
-        bad = i % 2
-        syllables = "".join(rng.choices(_SYLLABLES, k=rng.randint(2, 3)))
-        plain = rng.choice([rng.choice(_ALLOWED), syllables, syllables])
-        word = rng.choice(_BLOCKED) + rng.choice(["", "", "-x", "4u", "-online"]) if bad else plain
-        in_path = bad and rng.random() < 0.25
-        host = rng.choice(["", "www.", "m.", "blog."]) + (plain if in_path else word) + "." + rng.choice(_SUFFIXES)
-        path = "/" + rng.choice(["en", "de", "fr", "es", rng.choice(_ALLOWED)]) + "/" + (word + "/" if in_path else "") + str(rng.randint(1, 999)) + rng.choice(["", "/", ".html"])
-        rows.append((f"https://{host}{path}", bad))
+        bad = int(i % 5 < 2)
+        name = "".join(rng.choice(_ONSETS) + rng.choice(_RIMES) for _ in range(rng.randint(1, 3)))
+        plain = rng.choice([rng.choice(ordinary), rng.choice(ordinary) + rng.choice(["", "-", ""]) + rng.choice(ordinary), "".join(rng.choices(_SYLLABLES, k=rng.randint(2, 4))), name, name + rng.choice(["", "-"]) + rng.choice(ordinary)])
+        word, glue = rng.choice(unwanted), rng.choice(["", "-", "-", ""])
+        spam = rng.choice([word, rng.choice(_BAIT) + glue + word, word + glue + rng.choice(_BAIT), glue.join([rng.choice(_BAIT), word, rng.choice(_BAIT)]), word + glue + rng.choice(unwanted)])
+        in_path = bad and rng.random() < 0.2
+        host = rng.choice(["", "", "www.", "www.", "m.", "blog."]) + (spam if bad and not in_path else plain) + "." + rng.choice(_SUFFIXES)
+        path = rng.choice(["", "/", f"/{rng.choice(_PAGES)}/", f"/{rng.choice(_PAGES)}/{rng.randint(1, 999)}", f"/{rng.choice(ordinary)}", f"/{rng.choice(_PAGES)}/{rng.choice(ordinary)}.html"])
+        rows.append((f"https://{host}{path.rstrip('/') + '/' + spam if in_path else path}", bad))
     return rows
 
 
@@ -95,7 +121,7 @@ def train(spark: SparkSession, labelled: list[tuple[str, int]] | None = None) ->
     rows = spark.createDataFrame(labelled or labelled_urls(), "url string, label int")
     parts = with_parts(rows, keep=("label",))
     ready = parts.select(F.col("label").cast("double").alias("label"), grams(F.col("host"), F.col("path")).alias("grams"))
-    stages = [HashingTF(numFeatures=BUCKETS, binary=True, inputCol="grams", outputCol="features"), LogisticRegression(regParam=0.01, maxIter=50)]
+    stages = [HashingTF(numFeatures=BUCKETS, binary=True, inputCol="grams", outputCol="features"), LogisticRegression(regParam=0.02, maxIter=60)]
     return Pipeline(stages=stages).fit(ready.coalesce(1))
 
 
@@ -109,7 +135,7 @@ def judge(df: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id
 
     The rule's verdict, or else the regression's.  Null urls and urls without
     ``://`` have empty host and path and are allowed unless a rule fits them.
-    Rows are independent.
+    Rows are independent; an empty table gives an empty one.
     """
     ruled = with_rule(with_parts(df, url_col, keep), rules).withColumn("grams", grams(F.col("host"), F.col("path")))
     scored = (model or _trained(df.sparkSession)).transform(ruled)
