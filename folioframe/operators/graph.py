@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def inherit(nodes: DataFrame, key: str, parent: str, props: list[str], rounds: int = 20) -> DataFrame:
+def inherit(nodes: DataFrame, key: str, parent: str, props: list[str]) -> DataFrame:
     """``key`` and ``props``, a missing one taken from the nearest ancestor that has it.
 
-    Each round joins every node to an ancestor twice as far away, so ``rounds``
-    covers chains of 2^rounds links.  Around a cycle the properties found on it
-    are inherited and the rest stay null.
+    Each round joins every node to an ancestor twice as far away; the rounds that
+    the number of nodes asks for reach the end of any chain.  What still has an
+    ancestor then hangs on a cycle: the properties found on it are inherited and
+    the rest stay null.
     """
     state = cut(nodes.select(key, F.col(parent).alias("up"), *props))
-    for _ in range(rounds):
+    for _ in range(state.count().bit_length() + 1):
         if state.where(F.col("up").isNotNull()).isEmpty():
             break
         above = state.select(F.col(key).alias("__key"), F.col("up").alias("__up"), *[F.col(p).alias(f"__{p}") for p in props])

@@ -14,8 +14,8 @@ def _document(*more):
     return Window.partitionBy("doc_id").orderBy("paragraph_index", *more)
 
 
-def gated_roles(paragraphs: DataFrame) -> DataFrame:
-    """``doc_id, paragraph_index, role``: roles that depend on what came before.
+def gated_roles(paragraphs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, paragraph_index, role`` and ``keep``: roles that depend on what came before.
 
     A number counts as a subparagraph only after a lettered paragraph, a lower
     letter only after a number, deep forms only after a paragraph; section,
@@ -32,37 +32,60 @@ def gated_roles(paragraphs: DataFrame) -> DataFrame:
     rows = rows.withColumn("numeric", F.coalesce(F.last(numeric, ignorenulls=True).over(before), F.lit(False)))
     deep = [(F.col("marker") == f"deep_{k}") & F.col("alpha") for k in (5, 6, 7, 8)]
     role = F.coalesce(F.col("free"), F.when(deep[0], "SUBPARAGRAPH_LEVEL_5").when(deep[1], "SUBPARAGRAPH_LEVEL_6").when(deep[2], "SUBPARAGRAPH_LEVEL_7").when(deep[3], "SUBPARAGRAPH_LEVEL_8").when(number, "SUBPARAGRAPH").when((F.col("marker") == "lower_alpha") & F.col("numeric"), "SUBSUBPARAGRAPH"))
-    return rows.select("doc_id", "paragraph_index", role.alias("role"))
+    return rows.select("doc_id", "paragraph_index", role.alias("role"), *keep)
 
 
 def literal_markers(paragraphs: DataFrame) -> DataFrame:
     """``doc_id, paragraph_index, marker, label, ordinal, body`` of rows with a typed marker."""
     t = roles.clean(F.col("text"))
-    form = r"^([(]?)([A-Za-z]|[0-9]{1,3})[.)]+[ \t]+"
+    form = r"^([(]?)([A-Za-z]|[0-9]+)[.)]+[ \t]+"
     rows = paragraphs.withColumn("marker", roles.marker_type(F.col("text"))).where("marker IS NOT NULL")
     label = F.regexp_extract(t, form, 2)
     return rows.select("doc_id", "paragraph_index", "marker", label.alias("label"), roles.ordinal(label).alias("ordinal"), F.regexp_replace(t, form, "").alias("body"))
 
 
-def sequence_violations(paragraphs: DataFrame) -> DataFrame:
-    """The first row of each document whose typed counter is not the next one.
+#: Roles whose typed counters run on, with the level that a row must be above to end their run.
+COUNTED = tuple((r, v) for r, v in roles.LEVELS.items() if v)
+
+
+def counted(paragraphs: DataFrame, only: tuple[str, ...] = tuple(r for r, _ in COUNTED)) -> DataFrame:
+    """``doc_id, paragraph_index, role, expected, found, text`` of the rows of the roles ``only``.
 
-    ``doc_id, paragraph_index, role, expected, found``.  A counter runs within
-    its role's instance, which a row of a lower level number ends.
+    ``found`` is the number in the text, ``expected`` the row's place among the
+    rows of its role since the last row of a higher level, from 1.  Roles and
+    counters come from one shuffle by document.
     """
-    told = gated_roles(paragraphs).join(literal_markers(paragraphs).select("doc_id", "paragraph_index", "ordinal"), ["doc_id", "paragraph_index"], "left")
     levels = F.create_map(*[F.lit(x) for r, v in roles.LEVELS.items() for x in (r, v)])
-    told = told.where("role IS NOT NULL").withColumn("level", levels[F.col("role")])
-    checked = ("PARAGRAPH", "SUBPARAGRAPH", "SUBSUBPARAGRAPH")
+    told = gated_roles(paragraphs, keep=("text",)).where("role IS NOT NULL").withColumn("level", levels[F.col("role")])
     upto = _document().rowsBetween(Window.unboundedPreceding, 0)
-    for role in checked:
-        told = told.withColumn(f"n_{role}", F.sum(F.when(F.col("level") < roles.LEVELS[role], 1).otherwise(0)).over(upto))
-    instance = F.coalesce(*[F.when(F.col("role") == r, F.col(f"n_{r}")) for r in checked])
-    rows = told.where(F.col("role").isin(*checked)).withColumn("instance", instance)
-    expected = F.row_number().over(Window.partitionBy("doc_id", "role", "instance").orderBy("paragraph_index")).cast("long")
-    wrong = rows.withColumn("expected", expected).where("ordinal <> expected")
-    first = wrong.groupBy("doc_id").agg(F.min_by(F.struct("paragraph_index", "role", "expected", "ordinal"), "paragraph_index").alias("r"))
-    return first.select("doc_id", "r.paragraph_index", "r.role", "r.expected", F.col("r.ordinal").alias("found"))
+    own = [(r, v) for r, v in COUNTED if r in only]
+    runs = [F.when(F.col("role") == r, F.sum(F.when(F.col("level") < v, 1).otherwise(0)).over(upto)) for r, v in own]
+    rows = told.withColumn("run", F.coalesce(*runs)).where(F.col("role").isin(*only))
+    expected = F.row_number().over(Window.partitionBy("doc_id", "role", "run").orderBy("paragraph_index")).cast("long")
+    return rows.select("doc_id", "paragraph_index", "role", expected.alias("expected"), roles.counter(F.col("role"), F.col("text")).alias("found"), "text")
+
+
+def sequence_violations(paragraphs: DataFrame) -> DataFrame:
+    """The first row of each document whose typed counter is not the next one.
+
+    ``doc_id, paragraph_index, role, expected, found``, for parts, articles and
+    all levels below.  A row without a number in its text breaks nothing.
+    """
+    wrong = counted(paragraphs).where("found <> expected")
+    first = wrong.groupBy("doc_id").agg(F.min_by(F.struct("paragraph_index", "role", "expected", "found"), "paragraph_index").alias("r"))
+    return first.select("doc_id", "r.*")
+
+
+def conversion_plan(paragraphs: DataFrame) -> DataFrame:
+    """``doc_id, paragraph_index, depth, nth, body``: what each typed marker of the three upper levels becomes.
+
+    ``depth`` is the new marker's form, ``nth`` its number, which begins anew
+    under each parent, ``body`` the text without the old marker.
+    """
+    forms = {"PARAGRAPH": ".", "SUBPARAGRAPH": ".1", "SUBSUBPARAGRAPH": ".1.1"}
+    depth = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])[F.col("role")]
+    body = F.regexp_replace(roles.clean(F.col("text")), r"^[(]?([A-Za-z]|[0-9]+)[.)]+[ \t]+", "")
+    return counted(paragraphs, tuple(forms)).select("doc_id", "paragraph_index", depth.alias("depth"), F.col("expected").alias("nth"), body.alias("body"))
 
 
 def neighbours(rows: DataFrame, group: str, order: str, text: str, width: int = 80) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import roles
-from ..operators import diff, graph, outline
+from ..functions import markup, roles, texts
+from ..operators import diff, graph, outline, rules
 from ..sources.tables import OUTLINE, doc_lines, sql, table
 from ..sources.tables import outline as outline_view
 from . import contracts, transforms  # noqa: F401  they add their statements
@@ -93,7 +93,66 @@ def allowed_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.disallowed(before_after_diff(spark, sf_dir), ["o_totalprice"])
 
 
-_FRAME = (disposition_audit, marker_type, literal_marker_parse, case_pattern, gated_roles, sequence_violations, neighbor_text, interval_merge, prop_inherit, dep_closure, provenance, before_after_diff, allowed_diff)
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    est = texts.estimated_tokens(text)
+    return table(spark, sf_dir, "documents").select("doc_id", est.alias("est_tokens"), texts.estimated_tokens(text, texts.TARGET_LETTERS_PER_TOKEN).alias("target_tokens"), (est > texts.REQUEST_TOKENS).alias("over_budget"))
+
+
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus", F.year("o_orderdate").alias("year"))
+    return rules.consensus(rows, ["k"], ["o_orderstatus", "year"])
+
+
+def exact_signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("size"))
+    known = seen.where("p_partkey % 10 = 1").withColumnRenamed("p_partkey", "role_id")
+    return rules.exact_match(seen, known, ["p_brand", "size"], "role_id").select("p_partkey", "role_id", "conflict")
+
+
+def uncovered_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    have = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    return rules.uncovered(lines, have, ["l_partkey"])
+
+
+_TURNS = ["conv_id", "turn", "role", "text"]
+
+
+def _turns_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.chunks(table(spark, sf_dir, "conversations").select(*_TURNS), _TURNS, name="g")
+
+
+def chunk_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns_in_chunks(spark, sf_dir).groupBy("g").agg(F.min("chunk").alias("first_chunk"), F.count("*").alias("seen"), F.min("conv_id").alias("conv_id"))
+
+
+def chunk_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _turns_in_chunks(spark, sf_dir).select("g", F.when((F.col("g") + F.col("chunk")) % 13 == 0, "other").otherwise(F.col("role")).alias("answer"))
+    return said.groupBy("g").agg(F.countDistinct("answer").alias("answers"), F.min("answer").alias("low"), F.max("answer").alias("high")).where("answers > 1")
+
+
+def conversion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.conversion_plan(outline_view(spark, sf_dir))
+
+
+def _order_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One paragraph of markup per order: a run with the customer, bold in every third, a plain one with the priority and a field that does not show."""
+    bold = F.when(F.col("o_orderkey") % 3 == 0, "<w:rPr><w:b/><w:sz w:val=\"22\"/></w:rPr>").otherwise("")
+    xml = F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="S'), F.col("o_orderstatus"), F.lit('"/><w:jc w:val="center"/></w:pPr><w:r>'), bold, F.lit("<w:t>No "), F.col("o_custkey").cast("string"), F.lit(" &amp; </w:t></w:r><w:r><w:instrText>PAGE</w:instrText></w:r><w:r>"), bold, F.lit("<w:t>"), F.col("o_orderpriority"), F.lit("</w:t></w:r></w:p>"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", xml.alias("xml"))
+
+
+def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_markup(spark, sf_dir).select("o_orderkey", markup.visible_text(F.col("xml")).alias("shown"))
+
+
+def markup_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _order_markup(spark, sf_dir).withColumn("h", markup.hints(F.col("xml")))
+    return told.select("o_orderkey", "h.style", "h.jc", "h.bold", "h.sz", F.array_join(markup.uniform_run_properties(F.col("xml")), ";").alias("shared"))
+
+
+_FRAME = (markup_hints, token_budget, consensus, exact_signature_match, uncovered_signatures, chunk_reassembly, chunk_conflicts, conversion_plan, markup_text, disposition_audit, marker_type, literal_marker_parse, case_pattern, gated_roles, sequence_violations, neighbor_text, interval_merge, prop_inherit, dep_closure, provenance, before_after_diff, allowed_diff)
 
 
 def _said(text: str):
@@ -104,13 +163,16 @@ QUERIES = {name: _said(f(Spark)) for name, f in STATEMENTS.items()} | {f.__name_
 
 _LOW = "lower(t)"
 _CLEAN = "regexp_replace(coalesce({x}, ''), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
-_MARKER = """CASE WHEN regexp_matches(t, '^[A-Z][.)][ \\t\\x{00A0}]') THEN 'upper_alpha' WHEN regexp_matches(t, '^[0-9]{1,3}[.][ \\t\\x{00A0}]') THEN 'number'
-    WHEN regexp_matches(t, '^[a-z][.][ \\t\\x{00A0}]') THEN 'lower_alpha' WHEN regexp_matches(t, '^[0-9]{1,3}[)][ \\t\\x{00A0}]') THEN 'deep_5' WHEN regexp_matches(t, '^[a-z][)][ \\t\\x{00A0}]') THEN 'deep_6'
-    WHEN regexp_matches(t, '^[(][0-9]{1,3}[)][ \\t\\x{00A0}]') THEN 'deep_7' WHEN regexp_matches(t, '^[(][a-z][)][ \\t\\x{00A0}]') THEN 'deep_8' END"""
-_FREE = """CASE WHEN regexp_matches(t, '(?i)^SECTION[ \\t]*-?[ \\t]*[0-9]{2} ?-?[0-9]{2} ?-?[0-9]{2}') THEN 'SectionID' WHEN regexp_matches(t, '(?i)^END OF (SECTION|DIVISION)') THEN 'END_OF_SECTION'
-    WHEN regexp_matches(t, '(?i)^PART[ \\t]+([0-9]+|[IVXLC]+)[ \\t]*[-:]?[ \\t]*[A-Z]') THEN 'PART' WHEN regexp_matches(t, '^[0-9]{1,2}[.][0-9]{2,3}[ \\t]+[^ ]') THEN 'ARTICLE' WHEN m = 'upper_alpha' THEN 'PARAGRAPH' END"""
+_MARKER = """CASE WHEN regexp_matches(t, '^[A-Z][.)][ \\t\\x{00A0}]') THEN 'upper_alpha' WHEN regexp_matches(t, '^[0-9]+[.][ \\t\\x{00A0}]') THEN 'number'
+    WHEN regexp_matches(t, '^[a-z][.][ \\t\\x{00A0}]') THEN 'lower_alpha' WHEN regexp_matches(t, '^[0-9]+[)][ \\t\\x{00A0}]') THEN 'deep_5' WHEN regexp_matches(t, '^[a-z][)][ \\t\\x{00A0}]') THEN 'deep_6'
+    WHEN regexp_matches(t, '^[(][0-9]+[)][ \\t\\x{00A0}]') THEN 'deep_7' WHEN regexp_matches(t, '^[(][a-z][)][ \\t\\x{00A0}]') THEN 'deep_8' END"""
+_SIX = "[0-9]{2}([\\s\\x{00A0}]*[-\\x{2010}-\\x{2015}]?[\\s\\x{00A0}]*[0-9]{2}){2}"
+_FREE = f"""CASE WHEN regexp_matches(t, '(?i)^SECTION[\\s\\x{{00A0}}]*{_SIX}\\b') THEN 'SectionID'
+    WHEN regexp_matches(t, '(?i)^END[\\s\\x{{00A0}}]+OF[\\s\\x{{00A0}}]+(SECTION|DIVISION)([\\s\\x{{00A0}}]+{_SIX})?[\\s\\x{{00A0}}]*[-.\\x{{2010}}-\\x{{2015}}]*[\\s\\x{{00A0}}]*$') THEN 'END_OF_SECTION'
+    WHEN regexp_matches(t, '(?i)^PART[\\s\\x{{00A0}}]+([0-9]+|[IVXLCDM]+)([\\s\\x{{00A0}}]*[-:.\\x{{2010}}-\\x{{2015}}][\\s\\x{{00A0}}]*|[\\s\\x{{00A0}}]+)[^\\s\\x{{00A0}}]') THEN 'PART'
+    WHEN regexp_matches(t, '^[0-9]{{1,2}}[.][0-9]{{2,3}}(\\s|$)') THEN 'ARTICLE' WHEN m = 'upper_alpha' THEN 'PARAGRAPH' END"""
 _MARKED = f"o AS ({OUTLINE}), p AS (SELECT doc_id, paragraph_index, {_CLEAN.format(x='text')} AS t FROM o), q AS (SELECT *, {_MARKER} AS m FROM p)"
-_LABEL = "regexp_extract(t, '^([(]?)([A-Za-z]|[0-9]{1,3})[.)]+[ \\t]+', 2)"
+_LABEL = "regexp_extract(t, '^([(]?)([A-Za-z]|[0-9]+)[.)]+[ \\t]+', 2)"
 _NUMBER = f"CASE WHEN regexp_matches({_LABEL}, '^[0-9]+$') THEN CAST({_LABEL} AS BIGINT) ELSE CAST(ascii(upper({_LABEL})) - 64 AS BIGINT) END"
 # The state machine itself, row by row: alpha, numeric.
 _GATED = f"""RECURSIVE {_MARKED}, e AS (SELECT *, {_FREE} AS f FROM q),
@@ -123,6 +185,19 @@ _GATED = f"""RECURSIVE {_MARKED}, e AS (SELECT *, {_FREE} AS f FROM q),
       CASE WHEN e.f IS NOT NULL THEN e.f WHEN e.m = 'deep_5' AND alpha THEN 'SUBPARAGRAPH_LEVEL_5' WHEN e.m = 'deep_6' AND alpha THEN 'SUBPARAGRAPH_LEVEL_6' WHEN e.m = 'deep_7' AND alpha THEN 'SUBPARAGRAPH_LEVEL_7'
            WHEN e.m = 'deep_8' AND alpha THEN 'SUBPARAGRAPH_LEVEL_8' WHEN e.m = 'number' AND alpha THEN 'SUBPARAGRAPH' WHEN e.m = 'lower_alpha' AND num THEN 'SUBSUBPARAGRAPH' END AS role
       FROM s JOIN e ON e.doc_id = s.doc_id AND e.paragraph_index = s.i + 1) t)"""
+_COUNTED = f"""n AS (SELECT s.doc_id, s.i, s.role, q.t, CASE s.role WHEN 'PART' THEN TRY_CAST(regexp_extract(q.t, '^PART +([0-9]+)', 1) AS BIGINT) WHEN 'ARTICLE' THEN TRY_CAST(regexp_extract(q.t, '^[0-9]+[.]([0-9]+)', 1) AS BIGINT) ELSE {_NUMBER.replace('(t,', '(q.t,').replace('CAST(', 'TRY_CAST(', 1)} END AS ord,
+      CASE s.role WHEN 'PART' THEN 1 WHEN 'ARTICLE' THEN 2 WHEN 'PARAGRAPH' THEN 3 WHEN 'SUBPARAGRAPH' THEN 4 WHEN 'SUBSUBPARAGRAPH' THEN 5 WHEN 'SUBPARAGRAPH_LEVEL_5' THEN 6 WHEN 'SUBPARAGRAPH_LEVEL_6' THEN 7 WHEN 'SUBPARAGRAPH_LEVEL_7' THEN 8 WHEN 'SUBPARAGRAPH_LEVEL_8' THEN 9 ELSE 0 END AS lvl
+      FROM s JOIN q ON q.doc_id = s.doc_id AND q.paragraph_index = s.i WHERE s.role IS NOT NULL),
+    c AS (SELECT x.*, (SELECT count(*) FROM n y WHERE y.doc_id = x.doc_id AND y.i < x.i AND y.lvl < x.lvl) AS inst FROM n x WHERE x.lvl > 0)"""
+_CHUNKS = """
+    rows_ AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS g FROM conversations),
+    chunked AS (SELECT g, conv_id, role, CAST(floor(g / 10) AS BIGINT) - k AS chunk FROM rows_ CROSS JOIN (VALUES (0), (1), (2)) o(k) WHERE floor(g / 10) - k >= 0)"""
+
+
+def _matches(patterns: tuple[str, ...]) -> str:
+    return " OR ".join(f"regexp_matches(t, '{p}')" for p in patterns)
+
+
 _AFTER = """a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 17 <> 0
     UNION ALL SELECT -o_orderkey - 1, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 19 = 0),
   d AS (SELECT coalesce(b.o_orderkey, a.k) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN b.o_totalprice IS DISTINCT FROM a.p OR b.o_orderstatus IS DISTINCT FROM a.s THEN 'changed' END AS kind,
@@ -132,21 +207,37 @@ _AFTER = """a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_t
 ORACLES = {name: f(Duck) for name, f in STATEMENTS.items()} | {
     "disposition_audit": f"""
         WITH l AS ({Duck.lines}), c AS (SELECT doc_id, line, {_CLEAN.format(x='line')} AS t FROM l)
-        SELECT CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '^\\[[^\\[\\]]*\\]$') OR regexp_matches({_LOW}, '^(spec(ification)? )?(editor|specifier)(''s)? (note|instruction)s?:') THEN 'editor_note'
-          WHEN regexp_matches({_LOW}, 'copyright [0-9]{{4}} by|^all rights reserved|^licensed under|^copyright') THEN 'copyright_notice'
-          WHEN regexp_matches({_LOW}, '^(retain|revise|verify section|see editing instruction)') OR (regexp_matches({_LOW}, '(sub)?paragraphs? below') AND regexp_matches({_LOW}, 'retain|revise|delete|insert')) THEN 'specifier_note'
+        SELECT CASE WHEN t = '' THEN 'empty' WHEN {_matches(roles.EDITOR_NOTES)} THEN 'editor_note' WHEN {_matches(roles.NOTICES)} THEN 'copyright_notice'
+          WHEN {_matches(roles.SPECIFIER_NOTES)} OR (({_LOW} LIKE '%paragraph below%' OR {_LOW} LIKE '%paragraphs below%') AND ({_LOW} LIKE '%retain%' OR {_LOW} LIKE '%revise%' OR {_LOW} LIKE '%delete%' OR {_LOW} LIKE '%insert%'))
+            OR (starts_with({_LOW}, 'option:') AND {_LOW} LIKE '%may be used%') THEN 'specifier_note'
           ELSE 'candidate' END AS disposition, count(*) AS paragraphs, count(DISTINCT doc_id) AS docs, CAST(sum(length(line)) AS BIGINT) AS chars FROM c GROUP BY 1""",
+    "token_budget": "SELECT doc_id, CAST(coalesce(length(text), 0) // 4 AS BIGINT) AS est_tokens, CAST(coalesce(length(text), 0) // 3 AS BIGINT) AS target_tokens, coalesce(length(text), 0) // 4 > 150000 AS over_budget FROM documents",
+    "consensus": """
+        WITH s AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders), y AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS y FROM orders),
+        s1 AS (SELECT o_custkey, any_value(o_orderstatus) AS o_orderstatus FROM s GROUP BY 1 HAVING count(*) = 1), y1 AS (SELECT o_custkey, any_value(y) AS y FROM y GROUP BY 1 HAVING count(*) = 1)
+        SELECT k.o_custkey AS k, s1.o_orderstatus, CAST(y1.y AS INTEGER) AS year FROM (SELECT DISTINCT o_custkey FROM orders) k LEFT JOIN s1 USING (o_custkey) LEFT JOIN y1 USING (o_custkey)""",
+    "exact_signature_match": """
+        WITH seen AS (SELECT p_partkey, p_brand AS b, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS z FROM part)
+        SELECT s.p_partkey, CASE WHEN count(k.p_partkey) = 1 THEN min(k.p_partkey) END AS role_id, count(k.p_partkey) > 1 AS conflict
+        FROM seen s LEFT JOIN (SELECT * FROM seen WHERE p_partkey % 10 = 1) k ON s.b = k.b AND (s.z = k.z OR (s.z IS NULL AND k.z IS NULL)) GROUP BY s.p_partkey""",
+    "uncovered_signatures": "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY 1",
+    "chunk_reassembly": f"WITH {_CHUNKS} SELECT g, min(chunk) AS first_chunk, count(*) AS seen, min(conv_id) AS conv_id FROM chunked GROUP BY g",
+    "chunk_conflicts": f"WITH {_CHUNKS}, said AS (SELECT g, CASE WHEN (g + chunk) % 13 = 0 THEN 'other' ELSE role END AS answer FROM chunked) SELECT g, count(DISTINCT answer) AS answers, min(answer) AS low, max(answer) AS high FROM said GROUP BY g HAVING count(DISTINCT answer) > 1",
+    "conversion_plan": f"""
+        WITH {_GATED}, {_COUNTED}
+        SELECT doc_id, i AS paragraph_index, CASE role WHEN 'PARAGRAPH' THEN '.' WHEN 'SUBPARAGRAPH' THEN '.1' ELSE '.1.1' END AS depth, row_number() OVER (PARTITION BY doc_id, role, inst ORDER BY i) AS nth,
+          regexp_replace(t, '^[(]?([A-Za-z]|[0-9]+)[.)]+[ \\t]+', '') AS body FROM c WHERE lvl BETWEEN 3 AND 5""",
+    "markup_hints": """SELECT o_orderkey, 'S' || o_orderstatus AS style, 'center' AS jc, CASE WHEN o_orderkey % 3 = 0 THEN true END AS bold, CASE WHEN o_orderkey % 3 = 0 THEN '22' END AS sz,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'w:b;w:sz w:val="22"' ELSE '' END AS shared FROM orders""",
+    "markup_text": "SELECT o_orderkey, concat('No ', o_custkey, ' & ', o_orderpriority) AS shown FROM orders",
     "marker_type": f"WITH {_MARKED} SELECT doc_id, paragraph_index, m AS marker FROM q",
-    "literal_marker_parse": f"WITH {_MARKED} SELECT doc_id, paragraph_index, m AS marker, {_LABEL} AS label, {_NUMBER} AS ordinal, regexp_replace(t, '^([(]?)([A-Za-z]|[0-9]{{1,3}})[.)]+[ \\t]+', '') AS body FROM q WHERE m IS NOT NULL",
+    "literal_marker_parse": f"WITH {_MARKED} SELECT doc_id, paragraph_index, m AS marker, {_LABEL} AS label, {_NUMBER} AS ordinal, regexp_replace(t, '^([(]?)([A-Za-z]|[0-9]+)[.)]+[ \\t]+', '') AS body FROM q WHERE m IS NOT NULL",
     "case_pattern": f"""
-        WITH l AS ({Duck.lines}), a AS (SELECT regexp_replace(coalesce(line, ''), '[^A-Za-z ]', '', 'g') AS x FROM l), w AS (SELECT x, list_filter(regexp_split_to_array(x, ' +'), lambda y: y <> '') AS ws FROM a)
-        SELECT CASE WHEN len(ws) = 0 THEN 'none' WHEN x = upper(x) THEN 'upper' WHEN x = lower(x) THEN 'lower' WHEN len(list_filter(ws, lambda y: y <> concat(upper(y[1]), lower(y[2:])))) = 0 THEN 'title' ELSE 'mixed' END AS pattern, count(*) AS n FROM w GROUP BY 1""",
+        WITH l AS ({Duck.lines}), w AS (SELECT coalesce(line, '') AS x, list_filter(regexp_split_to_array(coalesce(line, ''), '[\\s\\v\\x1c-\\x1f\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda y: y <> '') AS ws FROM l)
+        SELECT CASE WHEN upper(x) = lower(x) THEN 'none' WHEN x = upper(x) THEN 'upper' WHEN x = lower(x) THEN 'lower' WHEN 10 * len(list_filter(ws, lambda y: y[1] <> lower(y[1]))) >= 7 * len(ws) THEN 'title' ELSE 'mixed' END AS pattern, count(*) AS n FROM w GROUP BY 1""",
     "gated_roles": f"WITH {_GATED} SELECT doc_id, i AS paragraph_index, role FROM s WHERE i >= 0",
     "sequence_violations": f"""
-        WITH {_GATED}, n AS (SELECT s.doc_id, s.i, s.role, {_NUMBER.replace('(t,', '(q.t,')} AS ord, CASE s.role WHEN 'PARAGRAPH' THEN 3 WHEN 'SUBPARAGRAPH' THEN 4 WHEN 'SUBSUBPARAGRAPH' THEN 5 WHEN 'PART' THEN 1 WHEN 'ARTICLE' THEN 2 WHEN 'SectionID' THEN 0 WHEN 'END_OF_SECTION' THEN 0 ELSE 6 END AS lvl
-          FROM s JOIN q ON q.doc_id = s.doc_id AND q.paragraph_index = s.i WHERE s.role IS NOT NULL),
-        c AS (SELECT x.doc_id, x.i, x.role, x.ord, (SELECT count(*) FROM n y WHERE y.doc_id = x.doc_id AND y.i < x.i AND y.lvl < x.lvl) AS inst FROM n x WHERE x.lvl BETWEEN 3 AND 5),
-        v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role, inst ORDER BY i) AS want FROM c), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM v WHERE ord <> want)
+        WITH {_GATED}, {_COUNTED}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role, inst ORDER BY i) AS want FROM c), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM v WHERE ord <> want)
         SELECT doc_id, i AS paragraph_index, role, want AS expected, ord AS found FROM w WHERE rn = 1""",
     "neighbor_text": "SELECT conv_id, turn, substr(lag(text) OVER w, 1, 80) AS prev_text, substr(lead(text) OVER w, 1, 80) AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "interval_merge": """

@@ -30,10 +30,6 @@ class Spark:
     def seconds(x: str) -> str:
         return f"unix_timestamp({x})"
 
-    @staticmethod
-    def count_if(x: str) -> str:
-        return f"count_if({x})"
-
     lines = "SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (paragraph_index, line) FROM documents"
 
 

@@ -48,11 +48,6 @@ def text_fingerprint(d):
     return f"SELECT doc_id, {d.sha256('text')} AS text_sha256, {d.sha256('substr(text, 1, 200)')} AS slim_sha256, length(text) > 200 AS was_truncated FROM documents"
 
 
-@statement
-def token_budget(d):
-    return "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS est_tokens, CAST(ceil(length(text) / 12.0) AS BIGINT) AS slim_tokens, length(text) / 4.0 > 2000 AS over_budget FROM documents"
-
-
 @statement
 def output_names(d):
     stem = d.gsub(d.sub("url", "^[a-z]+://([^?#]*)", 1), "[^A-Za-z0-9]+", "_")
@@ -72,16 +67,6 @@ def pattern_resolve(d):
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2"""
 
 
-@statement
-def exact_signature_match(d):
-    """Null-safe match on all of a signature; several matches are no match."""
-    sig = "p_brand AS b, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS z"
-    return f"""
-        WITH known AS (SELECT p_partkey AS role_id, {sig} FROM part WHERE p_partkey % 10 = 1), seen AS (SELECT p_partkey, {sig} FROM part),
-        hit AS (SELECT s.p_partkey, count(k.role_id) AS n, min(k.role_id) AS role_id FROM seen s LEFT JOIN known k ON s.b IS NOT DISTINCT FROM k.b AND s.z IS NOT DISTINCT FROM k.z GROUP BY s.p_partkey)
-        SELECT p_partkey, CASE WHEN n = 1 THEN role_id END AS role_id, n > 1 AS conflict FROM hit"""
-
-
 @statement
 def coverage(d):
     return "SELECT d.source, count(*) AS docs, count(l.doc_id) AS covered, CAST(floor(10000 * count(l.doc_id) / count(*)) AS BIGINT) AS basis_points FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source"
@@ -135,7 +120,9 @@ def role_fallback(d):
 
 @statement
 def dup_casefold(d):
-    return "SELECT lower(url) AS folded, count(*) AS n, min(page_id) AS first_id FROM pages GROUP BY lower(url) HAVING count(*) > 1"
+    """Hosts that several pages have, letters folded."""
+    host = f"lower({d.sub('url', '^[A-Za-z]+://([^/?#]*)', 1)})"
+    return f"SELECT {host} AS folded, count(*) AS n, min(page_id) AS first_id FROM pages GROUP BY {host} HAVING count(*) > 1"
 
 
 @statement
@@ -157,28 +144,6 @@ def id_allocation(d):
     return "SELECT n_name, (SELECT max(k) FROM (SELECT r_regionkey AS k FROM region UNION ALL SELECT n_nationkey FROM nation) u) + row_number() OVER (ORDER BY n_name, n_nationkey) AS new_id FROM nation"
 
 
-_CHUNKS = """
-    rows_ AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS g FROM conversations),
-    chunked AS (SELECT g, conv_id, role, CAST(floor(g / 10) AS BIGINT) - k AS chunk FROM rows_ CROSS JOIN (VALUES (0), (1), (2)) o(k) WHERE floor(g / 10) - k >= 0)"""
-
-
-@statement
-def chunk_reassembly(d):
-    """Rows in overlapping chunks of 30; each row keeps the answer of its first chunk."""
-    return f"WITH {_CHUNKS} SELECT g, min(chunk) AS first_chunk, count(*) AS seen, min(conv_id) AS conv_id FROM chunked GROUP BY g"
-
-
-@statement
-def chunk_conflicts(d):
-    return f"WITH {_CHUNKS}, said AS (SELECT g, CASE WHEN (g + chunk) % 13 = 0 THEN 'other' ELSE role END AS answer FROM chunked) SELECT g, count(DISTINCT answer) AS answers, min(answer) AS low, max(answer) AS high FROM said GROUP BY g HAVING count(DISTINCT answer) > 1"
-
-
-@statement
-def consensus(d):
-    return """
-        SELECT conv_id, role, n FROM (SELECT conv_id, role, count(*) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, role) AS rn FROM conversations GROUP BY conv_id, role) t WHERE rn = 1"""
-
-
 @statement
 def diag_rollup(d):
     return "SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(max(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS most, min(event_id) AS first_event FROM events GROUP BY event_type"
@@ -244,19 +209,19 @@ def version_order(d):
 @statement
 def dep_closure(d):
     return """
-        WITH RECURSIVE up(k, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey <= 200 UNION ALL SELECT k, CAST(floor(node / 7) AS BIGINT), depth + 1 FROM up WHERE node >= 7)
+        WITH RECURSIVE up(k, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, CAST(floor(node / 7) AS BIGINT), depth + 1 FROM up WHERE node >= 7)
         SELECT k, count(*) AS nodes, CAST(min(node) AS BIGINT) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY k"""
 
 
 @statement
 def provenance(d):
     return """
-        WITH RECURSIVE up(k, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey <= 200 UNION ALL SELECT k, CAST(floor(node / 7) AS BIGINT), depth + 1 FROM up WHERE node >= 7),
+        WITH RECURSIVE up(k, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, CAST(floor(node / 7) AS BIGINT), depth + 1 FROM up WHERE node >= 7),
         near AS (SELECT k, min(depth) AS depth FROM up WHERE node % 5 = 0 GROUP BY k)
-        SELECT p.p_partkey AS k, CASE WHEN n.depth = 0 THEN 'direct' WHEN n.depth > 0 THEN 'style' WHEN p.p_size % 2 = 0 THEN 'text_literal' ELSE 'none' END AS provenance FROM part p LEFT JOIN near n ON p.p_partkey = n.k WHERE p.p_partkey <= 200"""
+        SELECT p.p_partkey AS k, CASE WHEN n.depth = 0 THEN 'direct' WHEN n.depth > 0 THEN 'style' WHEN p.p_size % 2 = 0 THEN 'text_literal' ELSE 'none' END AS provenance FROM part p LEFT JOIN near n ON p.p_partkey = n.k"""
 
 
-_LADDER = "(VALUES (0, 'decimal', 'PART %1 -'), (1, 'decimal', '%1.%2'), (2, 'decimal', '%1.%2.%3'), (3, 'decimal', '%1.%4'), (4, 'upperLetter', '%5.'), (5, 'decimal', '%6.'), (6, 'lowerLetter', '%7.'), (7, 'decimal', '%8)'), (8, 'lowerLetter', '%9)'))"
+_LADDER = "(VALUES (0, 'decimal', 'PART %1:'), (1, 'upperLetter', '%2.'), (2, 'decimal', '%1.%3'), (3, 'lowerRoman', '(%4)'), (4, 'decimal', '%1.%5'), (5, 'lowerLetter', '%6)'), (6, 'decimal', '%7.'))"
 
 
 @statement
@@ -292,14 +257,6 @@ def audit_records(d):
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 
-@statement
-def conversion_plan(d):
-    """What each typed marker becomes: decimal dotted numbers for articles and below."""
-    return f"""
-        WITH o AS ({OUTLINE}), m AS (SELECT doc_id, paragraph_index, text, CASE WHEN {d.like('text', '^[A-Z][.] ')} THEN '.' WHEN {d.like('text', '^[0-9]+[.] ')} THEN '.1' WHEN {d.like('text', '^[a-z][.] ')} THEN '.1.1' END AS depth FROM o)
-        SELECT doc_id, paragraph_index, depth, CAST(count(*) OVER (PARTITION BY doc_id, depth ORDER BY paragraph_index) AS BIGINT) AS nth, {d.gsub('text', '^[A-Za-z0-9]+[.] ', '')} AS body FROM m WHERE depth IS NOT NULL"""
-
-
 # --- stars: the driver tables' own reports ------------------------------
 
 

@@ -56,7 +56,7 @@ def _read(package_parts: DataFrame, where: Column, rows: Callable, fields: str)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, part, content in batch.itertuples(index=False):
-                yield pd.DataFrame([(path, part, *r) for r in rows(ElementTree.fromstring(content))], columns=names)
+                yield pd.DataFrame([(path, part, *r) for r in rows(ElementTree.fromstring(content))], columns=names, dtype=object)
 
     return package_parts.where(where).select("path", "part", "content").mapInPandas(run, schema)
 
@@ -71,6 +71,94 @@ def numbering(package_parts: DataFrame) -> DataFrame:
     return _read(package_parts, F.col("part") == "word/numbering.xml", _numbering_rows, "kind string, owner string, abstract_id string, level string, start string, format string, level_text string").drop("part")
 
 
+def _property_rows(kind: str, owner: str | None, node: ElementTree.Element | None) -> Iterator[tuple]:
+    """One row per attribute of each property; a property without attributes says "true"."""
+    for prop in () if node is None else node:
+        name = prop.tag.removeprefix(_W)
+        for key, value in prop.attrib.items():
+            yield (kind, owner, name, key.removeprefix(_W), value)
+        if not prop.attrib and not len(prop):
+            yield (kind, owner, name, "val", "true")
+
+
+def _default_rows(root: ElementTree.Element) -> Iterator[tuple]:
+    for kind in ("rPr", "pPr"):
+        yield from _property_rows(kind, None, root.find(f"{_W}docDefaults/{_W}{kind}Default/{_W}{kind}"))
+
+
+def document_defaults(package_parts: DataFrame) -> DataFrame:
+    """``path, kind, property, attribute, value`` of the document defaults; ``kind`` is rPr or pPr."""
+    fields = "kind string, owner string, property string, attribute string, value string"
+    return _read(package_parts, F.col("part") == "word/styles.xml", _default_rows, fields).drop("part", "owner")
+
+
+def _style_property_rows(root: ElementTree.Element) -> Iterator[tuple]:
+    for s in root.iter(f"{_W}style"):
+        for kind in ("rPr", "pPr"):
+            yield from _property_rows(kind, s.get(f"{_W}styleId"), s.find(f"{_W}{kind}"))
+
+
+def style_properties(package_parts: DataFrame) -> DataFrame:
+    """``path, kind, style_id, property, attribute, value`` that each style states itself."""
+    fields = "kind string, style_id string, property string, attribute string, value string"
+    return _read(package_parts, F.col("part") == "word/styles.xml", _style_property_rows, fields).drop("part")
+
+
+def effective_properties(style_ancestors: DataFrame, stated: DataFrame, defaults: DataFrame) -> DataFrame:
+    """``path, style_id, kind, property, attribute, value, origin``: what holds for each style.
+
+    ``style_ancestors`` (path, style_id, node, depth) names each style's line,
+    itself at depth 0.  The nearest statement wins, attribute by attribute; the
+    document defaults come last.  ``origin`` is the style that states it, null
+    for a default.
+    """
+    key = ["path", "style_id", "kind", "property", "attribute"]
+    inherited = style_ancestors.join(stated.withColumnRenamed("style_id", "node"), ["path", "node"]).select(*key, "value", F.col("node").alias("origin"), "depth")
+    last = style_ancestors.select("path", "style_id").distinct().join(defaults, "path").select(*key, "value", F.lit(None).cast("string").alias("origin"), F.lit(1 << 30).alias("depth"))
+    return inherited.unionByName(last).groupBy(*key).agg(F.min_by(F.struct("value", "origin"), "depth").alias("v")).select(*key, "v.*")
+
+
+# Elements whose section properties are not the document's own.
+_APART = tuple(f"{_W}{x}" for x in ("tbl", "drawing", "pict", "object", "txbxContent"))
+
+
+def _section_rows(root: ElementTree.Element) -> Iterator[tuple]:
+    at, stack = 0, [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == f"{_W}sectPr":
+            get = lambda name, key: None if (x := node.find(f"{_W}{name}")) is None else x.get(f"{_W}{key}")  # noqa: B023, E731
+            refs = [(x.tag.removeprefix(_W).removesuffix("Reference"), x.get(f"{_W}type") or "default", x.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")) for x in node if x.tag.endswith("Reference")]
+            yield (at, get("pgSz", "w"), get("pgSz", "h"), get("pgSz", "orient"), *[get("pgMar", k) for k in ("top", "right", "bottom", "left")], get("cols", "num"), node.find(f"{_W}titlePg") is not None, refs)
+            at += 1
+        elif not node.tag.startswith(_APART):
+            stack += reversed(node)
+
+
+def sections(package_parts: DataFrame) -> DataFrame:
+    """One row per section of the main part, in order: page size, margins, columns, title page, header and footer references.
+
+    Section properties within tables, drawings and text boxes are left out.
+    """
+    fields = "section_index int, width string, height string, orient string, top string, right string, bottom string, left string, columns string, title_page boolean, refs array<struct<kind:string,type:string,rel_id:string>>"
+    return _read(package_parts, F.col("part") == "word/document.xml", _section_rows, fields).drop("part")
+
+
+def header_footer_refs(package_parts: DataFrame) -> DataFrame:
+    """``path, section_index, kind, type, rel_id``: the header or footer part that each section shows.
+
+    One row per section, kind (header, footer) and type (default, first, even)
+    that the document names anywhere; a section without a reference of its own
+    shows that of the nearest section before it, null if none has one.
+    """
+    own = sections(package_parts)
+    named = own.select("path", "section_index", F.explode("refs").alias("r")).select("path", "section_index", "r.*")
+    asked = own.select("path", "section_index").join(named.select("path", "kind", "type").distinct(), "path")
+    full = asked.join(named.groupBy("path", "section_index", "kind", "type").agg(F.min("rel_id").alias("rel_id")), ["path", "section_index", "kind", "type"], "left")
+    before = Window.partitionBy("path", "kind", "type").orderBy("section_index").rowsBetween(Window.unboundedPreceding, 0)
+    return full.withColumn("rel_id", F.last("rel_id", ignorenulls=True).over(before))
+
+
 def relationships(package_parts: DataFrame) -> DataFrame:
     """``path, part, rel_id, type, target, external, resolved, fault`` of all relationship parts.
 

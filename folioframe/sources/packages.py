@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -44,6 +45,19 @@ def _fault(package: zipfile.ZipFile) -> str | None:
     return next((f"missing:{r}" for r in REQUIRED if r not in names), None)
 
 
+def _is_read(part: str) -> bool:
+    """Whether readers of this library parse the part."""
+    return part.endswith(".rels") or part.startswith("word/") and part.count("/") == 1 and part.endswith(".xml")
+
+
+def _well_formed(xml: bytes) -> bool:
+    try:
+        ElementTree.fromstring(xml)
+    except ElementTree.ParseError:
+        return False
+    return True
+
+
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
@@ -51,13 +65,19 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 with zipfile.ZipFile(io.BytesIO(content)) as package:
                     fault = _fault(package)
                     rows = [] if fault else [(path, e.filename, package.read(e), None) for e in package.infolist() if not e.is_dir()]
-            except (zipfile.BadZipFile, RuntimeError):
-                fault, rows = "not_a_package", []
+                    fault = next((f"malformed:{part}" for _, part, xml, _ in rows if _is_read(part) and not _well_formed(xml)), fault)
+            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):
+                fault = "not_a_package"
+            rows = [] if fault else rows
             yield pd.DataFrame(rows or [(path, None, None, fault)], columns=["path", "part", "content", "fault"])
 
 
 def parts(packages: DataFrame) -> DataFrame:
-    """``path, part, content, fault``: all parts of sound packages, one row with ``fault`` for any other."""
+    """``path, part, content, fault``: all parts of sound packages, one row with ``fault`` for any other.
+
+    A damaged member or a main part, style sheet or relationship file that does
+    not parse is a fault, too, so that what reads the parts can rely on them.
+    """
     return packages.select("path", "content").mapInPandas(_parts, "path string, part string, content binary, fault string")
 
 

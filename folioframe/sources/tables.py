@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,11 +48,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Runs ``text`` with the driver tables it names as views."""
-    used = [n for n in NAMES if n in text]
-    for n in used:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
-    return spark.sql(text)
+    """Runs ``text`` with the driver tables that it names after FROM or JOIN.
+
+    The tables are views of names of their own until the statement is resolved,
+    so the session's views stay as they are.
+    """
+    views = {}
+
+    def view(m: re.Match) -> str:
+        views.setdefault(m[2], f"{m[2]}_{uuid.uuid4().hex}")
+        return f"{m[1]}{views[m[2]]}" + ("" if m[3] is not None else f" AS {m[2]}")
+
+    aliased = r"(?=\s+(?:AS\s+)?(?!(?:WHERE|GROUP|JOIN|LEFT|FULL|CROSS|ORDER|UNION|ON|HAVING|WINDOW|EXCEPT|LIMIT)\b)[A-Za-z_])"
+    text = re.sub(rf"(\b(?:FROM|JOIN)\s+)({'|'.join(NAMES)})\b({aliased})?", lambda m: view(m), text)
+    try:
+        for name, own in views.items():
+            table(spark, sf_dir, name).createOrReplaceTempView(own)
+        return spark.sql(text)
+    finally:
+        for own in views.values():
+            spark.catalog.dropTempView(own)
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:

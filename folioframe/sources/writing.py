@@ -54,6 +54,8 @@ def dangling(relationships: DataFrame, package_parts: DataFrame) -> DataFrame:
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     out = io.BytesIO()
+    if rows["part"].str.lower().duplicated().any():
+        raise ValueError(f"{rows['path'].iloc[0]} holds a part twice")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for part, content in sorted(zip(rows["part"], rows["content"]), key=lambda p: (p[0] != "[Content_Types].xml", p[0])):
             z.writestr(zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
@@ -63,6 +65,7 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
 def packed(package_parts: DataFrame) -> DataFrame:
     """``path, package``: one file's bytes per path, the same for the same parts.
 
-    A package must fit a task, as it does when it is read.
+    A package must fit a task, as it does when it is read.  Two parts of one
+    name, letters folded, are an error.
     """
     return package_parts.select("path", "part", "content").groupBy("path").applyInPandas(_pack, "path string, package binary")
