@@ -70,6 +70,8 @@ class ForcedBoundaryEncoder:
         inner = spec | {"model": spec["model"] | {"end_of_word_suffix": None}}
         self.last_model, self.inner_model = self.tokenizer.model, Tokenizer.from_str(json.dumps(inner)).model
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: The vocabulary's text of each id, by which ids are decoded.
+        self.texts = {i: token for token, i in (spec["model"]["vocab"] | self.special).items()}
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.letters = _byte_letters()
         self.pairs = set()
@@ -94,15 +96,15 @@ class ForcedBoundaryEncoder:
     def word(self, word: str) -> tuple[str, str]:
         """Ids and tokens, space-joined, of one word in byte-level letters."""
         *inner, last = self.cuts(word)
-        got = [t for piece in inner for t in self.inner_model.tokenize(piece)] + self.last_model.tokenize(last)
-        return " ".join([str(t.id) for t in got]), " ".join([t.value for t in got])
+        got = [t.id for piece in inner for t in self.inner_model.tokenize(piece)] + [t.id for t in self.last_model.tokenize(last)]
+        return " ".join(map(str, got)), self.decode(got)
 
     def fragment(self, raw: str) -> tuple[str, str]:
         """As ``word``, of any text: special tokens, normalizer and word split are the library's."""
         got = []
         for part in self.special_re.split(raw):
             if part in self.special:
-                got.append((str(self.special[part]), part))
+                got.append((str(self.special[part]), self.decode([self.special[part]])))
             elif part:
                 normal = self.tokenizer.normalizer.normalize_str(part)
                 got += [self.word(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
@@ -122,8 +124,8 @@ class ForcedBoundaryEncoder:
         return " ".join([x for x, _ in got]), " ".join([x for _, x in got])
 
     def decode(self, ids: list[int]) -> str:
-        """The text that the tokenizer's own decoder gives for ``ids``."""
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+        """The vocabulary's texts of ``ids``, space-joined, as a tokenizer without a decoder of its own gives them; unknown ids are left out."""
+        return " ".join([self.texts[i] for i in ids if i in self.texts])
 
 
 @lru_cache(maxsize=2)
@@ -157,7 +159,7 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text_col: str = "text", kee
 
 
 def decode_ids(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus ``decoded``, the tokenizer's text for the ids (null ids: empty)."""
+    """``keep`` columns plus ``decoded``, the vocabulary's text for the ids (null ids: empty; an empty table: an empty one)."""
     return per_text(df, ids_col, keep, [("decoded", "string", pa.string())], lambda ids: (encoder(tokenizer_path).decode(ids or []),))
 
 

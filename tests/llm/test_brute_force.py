@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from folioframe.llm import fingerprint, html_crf, html_pages, langid, sharding, simhash, url_filter
+from folioframe.llm import bpe, fingerprint, html_crf, html_pages, langid, sharding, simhash, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -188,3 +188,22 @@ def test_url_regression_on_words_never_learned(spark):
     assert precision > 0.95 and recall > 0.9 and left > 0.97
     precision, recall, left = table(1)
     assert precision > 0.8 and recall > 0.5 and left > 0.9
+
+
+def test_ids_are_decoded_as_the_library_does(spark):
+    import public_tokenizers
+
+    own = bpe.ForcedBoundaryEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(3)
+    for ids in [[], [0], [10**7], *rng.integers(0, 60_000, (200, 30)).tolist()]:
+        assert own.decode(ids) == own.tokenizer.decode(ids, skip_special_tokens=False)
+    assert bpe.decode_ids(spark.createDataFrame([], "doc_id int, ids array<int>"), public_tokenizers.path("word_bpe_49k.json")).isEmpty()
+
+
+def test_a_word_of_a_megabyte():
+    import public_tokenizers
+
+    own = bpe.ForcedBoundaryEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    word = "ab9_" * 250_000
+    ids = own.encode(word)[0].split()
+    assert len(ids) > 100_000 and own.decode([int(i) for i in ids]) == own.encode(word)[1]
