@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import roles
@@ -14,27 +14,79 @@ def _document(*more):
     return Window.partitionBy("doc_id").orderBy("paragraph_index", *more)
 
 
+def _given(rows: DataFrame, name: str, kind: str) -> Column:
+    """A column that the caller may leave out; then it is null."""
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+
 def gated_roles(paragraphs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, paragraph_index, role`` and ``keep``: roles that depend on what came before.
 
     A number counts as a subparagraph only after a lettered paragraph, a lower
     letter only after a number, deep forms only after a paragraph; section,
-    part and article rows end all three.  The flags are the last events seen,
-    each layer's events being known before the next is asked, so windows
-    suffice and no fold over a document is needed.
+    part and article rows end all three.  A ``numbering_role``, where the rows
+    have that column, outranks the text; what has a skip reason (``in_table``
+    may be given) has no role and changes nothing.  The flags are the last
+    events seen, each layer's events being known before the next is asked, so
+    windows suffice and no fold over a document is needed.
     """
     before = _document().rowsBetween(Window.unboundedPreceding, -1)
-    rows = paragraphs.withColumn("free", roles.ungated_role(F.col("text"))).withColumn("marker", roles.marker_type(F.col("text")))
-    alpha = F.when(F.col("free") == "PARAGRAPH", True).when(F.col("free").isin(*_BREAKS), False)
-    rows = rows.withColumn("alpha", F.coalesce(F.last(alpha, ignorenulls=True).over(before), F.lit(False)))
-    number = F.col("free").isNull() & (F.col("marker") == "number") & F.col("alpha")
-    numeric = F.when(number, True).when(F.col("free").isNotNull(), False)
-    rows = rows.withColumn("numeric", F.coalesce(F.last(numeric, ignorenulls=True).over(before), F.lit(False)))
-    deep = [(F.col("marker") == f"deep_{k}") & F.col("alpha") for k in (5, 6, 7, 8)]
-    role = F.coalesce(F.col("free"), F.when(deep[0], "SUBPARAGRAPH_LEVEL_5").when(deep[1], "SUBPARAGRAPH_LEVEL_6").when(deep[2], "SUBPARAGRAPH_LEVEL_7").when(deep[3], "SUBPARAGRAPH_LEVEL_8").when(number, "SUBPARAGRAPH").when((F.col("marker") == "lower_alpha") & F.col("numeric"), "SUBSUBPARAGRAPH"))
+    text, numbered = F.col("text"), _given(paragraphs, "numbering_role", "string")
+    part = roles.skip_reason(text, _given(paragraphs, "in_table", "boolean")).isNull()
+    rows = paragraphs.withColumn("free", F.when(part, F.coalesce(numbered, roles.ungated_role(text)))).withColumn("marker", F.when(part & numbered.isNull(), roles.marker_type(text)))
+    free = F.col("free")
+
+    def last(event: Column) -> Column:
+        return F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit(False))
+
+    alpha = last(F.when(free == "PARAGRAPH", True).when(free.isin(*_BREAKS), False))
+    # Rows below a paragraph that the text alone tells presuppose the flag, so only told ones set it.
+    deep = last(F.when(free.isin(*_BREAKS), False).when(free.isNotNull(), True))
+    rows = rows.withColumn("alpha", alpha).withColumn("deep", deep)
+    number = free.isNull() & (F.col("marker") == "number") & F.col("alpha")
+    numeric = last(F.when(number | (free == "SUBPARAGRAPH"), True).when(free.isin("PARAGRAPH", *_BREAKS), False))
+    rows = rows.withColumn("numeric", numeric)
+    below = F.create_map(*[F.lit(x) for k in (5, 6, 7, 8) for x in (f"deep_{k}", f"SUBPARAGRAPH_LEVEL_{k}")])[F.col("marker")]
+    role = F.coalesce(free, F.when(F.col("deep"), below), F.when(number, "SUBPARAGRAPH").when((F.col("marker") == "lower_alpha") & F.col("numeric"), "SUBSUBPARAGRAPH"))
     return rows.select("doc_id", "paragraph_index", role.alias("role"), *keep)
 
 
+def preclassified(paragraphs: DataFrame, available: tuple[str, ...] = tuple(roles.LEVELS)) -> DataFrame:
+    """``doc_id, paragraph_index, preferred, role`` of the rows that need no further judgement.
+
+    Of a numbered row (``numbered``) the ``numbering_role`` counts, and nothing
+    else; of any other its text and the row before.  Empty rows and those
+    ``in_table`` have none.  ``role`` is the preferred one or what stands in
+    for it among the ``available``; rows without any are left out.  The three
+    flag columns may be absent.
+    """
+    no = F.lit(False)
+    aside = (roles.clean(F.col("text")) == "") | F.coalesce(_given(paragraphs, "in_table", "boolean"), no)
+    told = F.when(F.coalesce(_given(paragraphs, "numbered", "boolean"), no), _given(paragraphs, "numbering_role", "string")).otherwise(roles.heading_role(F.col("text"), F.lag("text").over(_document())))
+    rows = paragraphs.select("doc_id", "paragraph_index", F.when(~aside, told).alias("preferred"))
+    return rows.withColumn("role", roles.resolved(F.col("preferred"), F.array(*map(F.lit, available)))).where("role IS NOT NULL")
+
+
+def strong_hits(paragraphs: DataFrame) -> DataFrame:
+    """``doc_id, role, paragraph_index, nth``: the rows that show a role by themselves, numbered by role; the first is its exemplar.
+
+    A section's title is behind its number, or the row after the first section
+    row whose next row shows no role.  A row a hit instead of a list a role, so
+    a long document needs no long value.
+    """
+    part = roles.skip_reason(F.col("text"), _given(paragraphs, "in_table", "boolean")).isNull()
+    told = gated_roles(paragraphs.where(part), keep=("text",))
+    after, index = F.lead(F.struct("paragraph_index", roles.ungated_role(F.col("text")).alias("free"))).over(_document()), F.col("paragraph_index")
+    rows = told.withColumn("after", after).withColumn("opens", (F.col("role") == "SectionID") & (F.col("after.paragraph_index") == index + 1) & F.col("after.free").isNull())
+    first = F.min(F.when(F.col("opens"), index)).over(Window.partitionBy("doc_id"))
+    hit = lambda role, at: F.struct(role.alias("role"), at.alias("paragraph_index"))
+    title = F.lit("SectionTitle")
+    combined = (F.col("role") == "SectionID") & roles.section_title(F.col("text")).isNotNull()
+    hits = F.array_compact(F.array(F.when(F.col("role").isNotNull(), hit(F.col("role"), index)), F.when(combined, hit(title, index)), F.when(F.col("first") == index, hit(title, index + 1))))
+    out = rows.withColumn("first", first).select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
+    return out.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "role").orderBy("paragraph_index")))
+
+
 def literal_markers(paragraphs: DataFrame) -> DataFrame:
     """``doc_id, paragraph_index, marker, label, ordinal, body`` of rows with a typed marker."""
     t = roles.clean(F.col("text"))
@@ -76,6 +128,42 @@ def sequence_violations(paragraphs: DataFrame) -> DataFrame:
     return first.select("doc_id", "r.*")
 
 
+def sequence_faults(paragraphs: DataFrame) -> DataFrame:
+    """``doc_id, paragraph_index, role, code``: all that keeps counters from being made anew; empty means proven.
+
+    ``gap``: a typed counter that is not the next after the one before it under
+    the same parent; ``no_parent``: no row of the level above is open (for a
+    lettered paragraph only where the document has articles); ``wrong_part``:
+    an article of another part than the open one; ``mixed_sources``: numbered
+    otherwise (typed, or by a ``numbering_role``) than the role's first row.  A
+    section row closes all that is open.
+    """
+    levels = F.create_map(*[F.lit(x) for r, v in roles.LEVELS.items() for x in (r, v)])
+    rows = paragraphs.withColumn("automatic", _given(paragraphs, "numbering_role", "string").isNotNull())
+    told = gated_roles(rows, keep=("text", "automatic")).where("role IS NOT NULL").withColumn("level", levels[F.col("role")])
+    level, role, text = F.col("level"), F.col("role"), F.col("text")
+    told = told.withColumn("found", F.when(~F.col("automatic"), roles.counter(role, text)))
+    before, upto = (_document().rowsBetween(Window.unboundedPreceding, x) for x in (-1, 0))
+    # Nothing above a level has closed it if the last row of that level or a higher one is of that level.
+    open_at = [F.last(F.when(level <= v, level), ignorenulls=True).over(before) == v for _, v in COUNTED]
+    has_articles = F.max(role == "ARTICLE").over(Window.partitionBy("doc_id"))
+    parent_open = F.lit(True)
+    for (r, v), above in zip(COUNTED[1:], open_at):
+        parent_open = F.when(role == r, F.coalesce(above, F.lit(False)) | (~has_articles if r == "PARAGRAPH" else F.lit(False))).otherwise(parent_open)
+    runs = F.coalesce(*[F.when(role == r, F.sum(F.when(level < v, 1).otherwise(0)).over(upto)) for r, v in COUNTED])
+    part = F.last(F.when(level <= 1, F.struct(F.when(role == "PART", F.col("found")).alias("n"))), ignorenulls=True).over(before)
+    stated = F.regexp_extract(roles.clean(text), r"^(\d{1,2})[.]", 1).try_cast("long")
+    known = told.withColumn("run", runs).withColumn("open", parent_open).withColumn("part", part)
+    prior = Window.partitionBy("doc_id", "role", "run").orderBy("paragraph_index")
+    first = F.first("automatic").over(Window.partitionBy("doc_id", "role").orderBy("paragraph_index").rowsBetween(Window.unboundedPreceding, 0))
+    known = known.where("level > 0").withColumn("expected", F.coalesce(F.lag("found").over(prior), F.lit(0)) + 1).withColumn("kind", first)
+    codes = F.array_compact(F.array(
+        F.when(F.col("found") != F.col("expected"), "gap"), F.when(~F.col("open"), "no_parent"),
+        F.when((role == "ARTICLE") & ~F.col("automatic") & (stated != F.col("part.n")), "wrong_part"), F.when(F.col("automatic") != F.col("kind"), "mixed_sources"),
+    ))
+    return known.select("doc_id", "paragraph_index", "role", F.explode(codes).alias("code"))
+
+
 def conversion_plan(paragraphs: DataFrame) -> DataFrame:
     """``doc_id, paragraph_index, depth, nth, body``: what each typed marker of the three upper levels becomes.
 

@@ -39,6 +39,34 @@ def uncovered(required: DataFrame, covered: DataFrame, keys: list[str]) -> DataF
     return required.join(covered.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def duplicates(rows: DataFrame, key: str, first: str) -> DataFrame:
+    """``folded, n, first_id``: values of ``key`` that several rows have, letters folded; null equals null."""
+    return rows.groupBy(F.lower(key).alias("folded")).agg(F.count("*").alias("n"), F.min(first).alias("first_id")).where("n > 1")
+
+
+def outcomes(targets: DataFrame, run: str, succeeded: str) -> DataFrame:
+    """``run, succeeded, failed, status`` of runs: ``succeeded``, ``failed`` or ``partial_failure``; a null outcome is a failure."""
+    good = F.count_if(F.coalesce(succeeded, F.lit(False)))
+    counted = targets.groupBy(run).agg(good.alias("succeeded"), (F.count("*") - good).alias("failed"))
+    return counted.withColumn("status", F.when(F.col("failed") == 0, "succeeded").when(F.col("succeeded") == 0, "failed").otherwise("partial_failure"))
+
+
+def fresh_ids(wanted: DataFrame, taken: DataFrame, name: str) -> DataFrame:
+    """``name, id`` of the wanted names: eight hex digits of a digest that neither ``taken`` (``id``) nor each other have.
+
+    A name whose digest is taken tries again with a number behind it; of names
+    that meet in one digest the least gets it.  Reruns agree.
+    """
+    left = cut(wanted.select(name).where(F.col(name).isNotNull()).distinct())
+    used, out, salt = taken.select("id").distinct(), None, 0
+    while not left.isEmpty():
+        tried = left.withColumn("id", F.upper(F.left(F.sha1(F.concat(name, F.lit(f"#{salt}" if salt else ""))), F.lit(8))))
+        won = cut(tried.join(used, "id", "left_anti").groupBy("id").agg(F.min(name).alias(name)).select(name, "id"))
+        left = cut(left.join(won, name, "left_anti"))
+        out, used, salt = won if out is None else out.unionByName(won), used.unionByName(won.select("id")), salt + 1
+    return out if out is not None else left.withColumn("id", F.lit(None).cast("string"))
+
+
 def numbered(rows: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """``rows`` with a gapless number from 0 in the given order; equal rows in any.
 

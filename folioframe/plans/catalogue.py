@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, roles, texts
 from ..operators import diff, graph, outline, rules
-from ..sources.tables import OUTLINE, doc_lines, sql, table
+from ..sources.tables import doc_lines, sql, table
 from ..sources.tables import outline as outline_view
-from . import contracts, transforms  # noqa: F401  they add their statements
+from . import contracts, evidence, transforms  # noqa: F401  the last adds its statements
 from .dialects import Duck, Spark
+from .outline_sql import CLEAN, COUNTED, GATED, LABEL, MARKED, NUMBER
 from .statements import STATEMENTS
 
 
@@ -159,36 +160,9 @@ def _said(text: str):
     return lambda spark, sf_dir: sql(spark, sf_dir, text)
 
 
-QUERIES = {name: _said(f(Spark)) for name, f in STATEMENTS.items()} | {f.__name__: f for f in _FRAME}
+QUERIES = {name: _said(f(Spark)) for name, f in STATEMENTS.items()} | {f.__name__: f for f in _FRAME} | evidence.QUERIES
 
 _LOW = "lower(t)"
-_CLEAN = "regexp_replace(coalesce({x}, ''), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
-_MARKER = """CASE WHEN regexp_matches(t, '^[A-Z][.)][ \\t\\x{00A0}]') THEN 'upper_alpha' WHEN regexp_matches(t, '^[0-9]+[.][ \\t\\x{00A0}]') THEN 'number'
-    WHEN regexp_matches(t, '^[a-z][.][ \\t\\x{00A0}]') THEN 'lower_alpha' WHEN regexp_matches(t, '^[0-9]+[)][ \\t\\x{00A0}]') THEN 'deep_5' WHEN regexp_matches(t, '^[a-z][)][ \\t\\x{00A0}]') THEN 'deep_6'
-    WHEN regexp_matches(t, '^[(][0-9]+[)][ \\t\\x{00A0}]') THEN 'deep_7' WHEN regexp_matches(t, '^[(][a-z][)][ \\t\\x{00A0}]') THEN 'deep_8' END"""
-_SIX = "[0-9]{2}([\\s\\x{00A0}]*[-\\x{2010}-\\x{2015}]?[\\s\\x{00A0}]*[0-9]{2}){2}"
-_FREE = f"""CASE WHEN regexp_matches(t, '(?i)^SECTION[\\s\\x{{00A0}}]*{_SIX}\\b') THEN 'SectionID'
-    WHEN regexp_matches(t, '(?i)^END[\\s\\x{{00A0}}]+OF[\\s\\x{{00A0}}]+(SECTION|DIVISION)([\\s\\x{{00A0}}]+{_SIX})?[\\s\\x{{00A0}}]*[-.\\x{{2010}}-\\x{{2015}}]*[\\s\\x{{00A0}}]*$') THEN 'END_OF_SECTION'
-    WHEN regexp_matches(t, '(?i)^PART[\\s\\x{{00A0}}]+([0-9]+|[IVXLCDM]+)([\\s\\x{{00A0}}]*[-:.\\x{{2010}}-\\x{{2015}}][\\s\\x{{00A0}}]*|[\\s\\x{{00A0}}]+)[^\\s\\x{{00A0}}]') THEN 'PART'
-    WHEN regexp_matches(t, '^[0-9]{{1,2}}[.][0-9]{{2,3}}(\\s|$)') THEN 'ARTICLE' WHEN m = 'upper_alpha' THEN 'PARAGRAPH' END"""
-_MARKED = f"o AS ({OUTLINE}), p AS (SELECT doc_id, paragraph_index, {_CLEAN.format(x='text')} AS t FROM o), q AS (SELECT *, {_MARKER} AS m FROM p)"
-_LABEL = "regexp_extract(t, '^([(]?)([A-Za-z]|[0-9]+)[.)]+[ \\t]+', 2)"
-_NUMBER = f"CASE WHEN regexp_matches({_LABEL}, '^[0-9]+$') THEN CAST({_LABEL} AS BIGINT) ELSE CAST(ascii(upper({_LABEL})) - 64 AS BIGINT) END"
-# The state machine itself, row by row: alpha, numeric.
-_GATED = f"""RECURSIVE {_MARKED}, e AS (SELECT *, {_FREE} AS f FROM q),
-  s(doc_id, i, alpha, num, role) AS (
-    SELECT doc_id, CAST(-1 AS BIGINT), false, false, CAST(NULL AS VARCHAR) FROM e WHERE paragraph_index = 0
-    UNION ALL
-    SELECT doc_id, i, CASE WHEN role = 'PARAGRAPH' THEN true WHEN role IN ('SectionID', 'SectionTitle', 'PART', 'ARTICLE', 'END_OF_SECTION') THEN false ELSE alpha END,
-           CASE WHEN role = 'SUBPARAGRAPH' THEN true WHEN role IN ('PARAGRAPH', 'SectionID', 'SectionTitle', 'PART', 'ARTICLE', 'END_OF_SECTION') THEN false ELSE num END, role
-    FROM (SELECT e.doc_id, e.paragraph_index AS i, s.alpha, s.num,
-      CASE WHEN e.f IS NOT NULL THEN e.f WHEN e.m = 'deep_5' AND alpha THEN 'SUBPARAGRAPH_LEVEL_5' WHEN e.m = 'deep_6' AND alpha THEN 'SUBPARAGRAPH_LEVEL_6' WHEN e.m = 'deep_7' AND alpha THEN 'SUBPARAGRAPH_LEVEL_7'
-           WHEN e.m = 'deep_8' AND alpha THEN 'SUBPARAGRAPH_LEVEL_8' WHEN e.m = 'number' AND alpha THEN 'SUBPARAGRAPH' WHEN e.m = 'lower_alpha' AND num THEN 'SUBSUBPARAGRAPH' END AS role
-      FROM s JOIN e ON e.doc_id = s.doc_id AND e.paragraph_index = s.i + 1) t)"""
-_COUNTED = f"""n AS (SELECT s.doc_id, s.i, s.role, q.t, CASE s.role WHEN 'PART' THEN TRY_CAST(regexp_extract(q.t, '^PART +([0-9]+)', 1) AS BIGINT) WHEN 'ARTICLE' THEN TRY_CAST(regexp_extract(q.t, '^[0-9]+[.]([0-9]+)', 1) AS BIGINT) ELSE {_NUMBER.replace('(t,', '(q.t,').replace('CAST(', 'TRY_CAST(', 1)} END AS ord,
-      CASE s.role WHEN 'PART' THEN 1 WHEN 'ARTICLE' THEN 2 WHEN 'PARAGRAPH' THEN 3 WHEN 'SUBPARAGRAPH' THEN 4 WHEN 'SUBSUBPARAGRAPH' THEN 5 WHEN 'SUBPARAGRAPH_LEVEL_5' THEN 6 WHEN 'SUBPARAGRAPH_LEVEL_6' THEN 7 WHEN 'SUBPARAGRAPH_LEVEL_7' THEN 8 WHEN 'SUBPARAGRAPH_LEVEL_8' THEN 9 ELSE 0 END AS lvl
-      FROM s JOIN q ON q.doc_id = s.doc_id AND q.paragraph_index = s.i WHERE s.role IS NOT NULL),
-    c AS (SELECT x.*, (SELECT count(*) FROM n y WHERE y.doc_id = x.doc_id AND y.i < x.i AND y.lvl < x.lvl) AS inst FROM n x WHERE x.lvl > 0)"""
 _CHUNKS = """
     rows_ AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS g FROM conversations),
     chunked AS (SELECT g, conv_id, role, CAST(floor(g / 10) AS BIGINT) - k AS chunk FROM rows_ CROSS JOIN (VALUES (0), (1), (2)) o(k) WHERE floor(g / 10) - k >= 0)"""
@@ -206,7 +180,7 @@ _AFTER = """a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_t
 
 ORACLES = {name: f(Duck) for name, f in STATEMENTS.items()} | {
     "disposition_audit": f"""
-        WITH l AS ({Duck.lines}), c AS (SELECT doc_id, line, {_CLEAN.format(x='line')} AS t FROM l)
+        WITH l AS ({Duck.lines}), c AS (SELECT doc_id, line, {CLEAN.format(x='line')} AS t FROM l)
         SELECT CASE WHEN t = '' THEN 'empty' WHEN {_matches(roles.EDITOR_NOTES)} THEN 'editor_note' WHEN {_matches(roles.NOTICES)} THEN 'copyright_notice'
           WHEN {_matches(roles.SPECIFIER_NOTES)} OR (({_LOW} LIKE '%paragraph below%' OR {_LOW} LIKE '%paragraphs below%') AND ({_LOW} LIKE '%retain%' OR {_LOW} LIKE '%revise%' OR {_LOW} LIKE '%delete%' OR {_LOW} LIKE '%insert%'))
             OR (starts_with({_LOW}, 'option:') AND {_LOW} LIKE '%may be used%') THEN 'specifier_note'
@@ -224,20 +198,20 @@ ORACLES = {name: f(Duck) for name, f in STATEMENTS.items()} | {
     "chunk_reassembly": f"WITH {_CHUNKS} SELECT g, min(chunk) AS first_chunk, count(*) AS seen, min(conv_id) AS conv_id FROM chunked GROUP BY g",
     "chunk_conflicts": f"WITH {_CHUNKS}, said AS (SELECT g, CASE WHEN (g + chunk) % 13 = 0 THEN 'other' ELSE role END AS answer FROM chunked) SELECT g, count(DISTINCT answer) AS answers, min(answer) AS low, max(answer) AS high FROM said GROUP BY g HAVING count(DISTINCT answer) > 1",
     "conversion_plan": f"""
-        WITH {_GATED}, {_COUNTED}
+        WITH {GATED}, {COUNTED}
         SELECT doc_id, i AS paragraph_index, CASE role WHEN 'PARAGRAPH' THEN '.' WHEN 'SUBPARAGRAPH' THEN '.1' ELSE '.1.1' END AS depth, row_number() OVER (PARTITION BY doc_id, role, inst ORDER BY i) AS nth,
           regexp_replace(t, '^[(]?([A-Za-z]|[0-9]+)[.)]+[ \\t]+', '') AS body FROM c WHERE lvl BETWEEN 3 AND 5""",
     "markup_hints": """SELECT o_orderkey, 'S' || o_orderstatus AS style, 'center' AS jc, CASE WHEN o_orderkey % 3 = 0 THEN true END AS bold, CASE WHEN o_orderkey % 3 = 0 THEN '22' END AS sz,
         CASE WHEN o_orderkey % 3 = 0 THEN 'w:b;w:sz w:val="22"' ELSE '' END AS shared FROM orders""",
     "markup_text": "SELECT o_orderkey, concat('No ', o_custkey, ' & ', o_orderpriority) AS shown FROM orders",
-    "marker_type": f"WITH {_MARKED} SELECT doc_id, paragraph_index, m AS marker FROM q",
-    "literal_marker_parse": f"WITH {_MARKED} SELECT doc_id, paragraph_index, m AS marker, {_LABEL} AS label, {_NUMBER} AS ordinal, regexp_replace(t, '^([(]?)([A-Za-z]|[0-9]+)[.)]+[ \\t]+', '') AS body FROM q WHERE m IS NOT NULL",
+    "marker_type": f"WITH {MARKED} SELECT doc_id, paragraph_index, m AS marker FROM q",
+    "literal_marker_parse": f"WITH {MARKED} SELECT doc_id, paragraph_index, m AS marker, {LABEL} AS label, {NUMBER} AS ordinal, regexp_replace(t, '^([(]?)([A-Za-z]|[0-9]+)[.)]+[ \\t]+', '') AS body FROM q WHERE m IS NOT NULL",
     "case_pattern": f"""
         WITH l AS ({Duck.lines}), w AS (SELECT coalesce(line, '') AS x, list_filter(regexp_split_to_array(coalesce(line, ''), '[\\s\\v\\x1c-\\x1f\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda y: y <> '') AS ws FROM l)
         SELECT CASE WHEN upper(x) = lower(x) THEN 'none' WHEN x = upper(x) THEN 'upper' WHEN x = lower(x) THEN 'lower' WHEN 10 * len(list_filter(ws, lambda y: y[1] <> lower(y[1]))) >= 7 * len(ws) THEN 'title' ELSE 'mixed' END AS pattern, count(*) AS n FROM w GROUP BY 1""",
-    "gated_roles": f"WITH {_GATED} SELECT doc_id, i AS paragraph_index, role FROM s WHERE i >= 0",
+    "gated_roles": f"WITH {GATED} SELECT doc_id, i AS paragraph_index, role FROM s WHERE i >= 0",
     "sequence_violations": f"""
-        WITH {_GATED}, {_COUNTED}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role, inst ORDER BY i) AS want FROM c), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM v WHERE ord <> want)
+        WITH {GATED}, {COUNTED}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role, inst ORDER BY i) AS want FROM c), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM v WHERE ord <> want)
         SELECT doc_id, i AS paragraph_index, role, want AS expected, ord AS found FROM w WHERE rn = 1""",
     "neighbor_text": "SELECT conv_id, turn, substr(lag(text) OVER w, 1, 80) AS prev_text, substr(lead(text) OVER w, 1, 80) AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "interval_merge": """
@@ -251,4 +225,4 @@ ORACLES = {name: f(Duck) for name, f in STATEMENTS.items()} | {
         SELECT k AS p_partkey, arg_min(brand, depth) FILTER (brand IS NOT NULL) AS brand, arg_min(size, depth) FILTER (size IS NOT NULL) AS size FROM j GROUP BY k""",
     "before_after_diff": f"WITH {_AFTER} SELECT o_orderkey, kind, changed FROM r",
     "allowed_diff": f"WITH {_AFTER} SELECT o_orderkey, kind, changed FROM r WHERE kind <> 'changed' OR changed <> 'o_totalprice'",
-}
+} | evidence.ORACLES

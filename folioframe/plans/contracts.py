@@ -177,16 +177,6 @@ def relationship_targets(d):
           FROM (SELECT page_id, {target} AS t FROM (SELECT page_id, url, {d.sub('url', '^[a-z]+://[^/]*/(.*)$', 1)} AS p FROM pages) a) b) c"""
 
 
-@statement
-def snapshot_verify(d):
-    """Per owner the digest of its parts in order, before and after; owners that differ."""
-    before = d.joined("concat(CAST(o_orderkey AS VARCHAR(20)), ':', o_orderstatus)", "o_orderkey")
-    after = d.joined("concat(CAST(o_orderkey AS VARCHAR(20)), ':', CASE WHEN o_orderkey % 97 = 0 THEN 'Z' ELSE o_orderstatus END)", "o_orderkey")
-    return f"""
-        WITH b AS (SELECT o_custkey AS k, {d.sha256(before)} AS sha FROM orders GROUP BY o_custkey), a AS (SELECT o_custkey AS k, {d.sha256(after)} AS sha FROM orders WHERE o_custkey % 211 <> 0 GROUP BY o_custkey)
-        SELECT coalesce(b.k, a.k) AS k, b.sha AS sha_before, a.sha AS sha_after FROM b FULL OUTER JOIN a ON b.k = a.k WHERE b.sha IS DISTINCT FROM a.sha"""
-
-
 @statement
 def import_remap(d):
     """Definitions from a template get ids above the target's; references follow by a join."""
