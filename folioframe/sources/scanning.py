@@ -74,5 +74,5 @@ def paragraph_profile(marked: DataFrame) -> DataFrame:
     return told.select(
         "path", "paragraph_index", F.left("whole", F.lit(200)).alias("text"), (F.length("whole") > 200).alias("was_truncated"), markup.hints(F.col("xml")).alias("hints"),
         markup.uniform_run_properties(F.col("xml")).alias("uniform_run"), "in_table", "has_section", "has_drawing", "has_textbox",
-        F.when(F.col("whole") != "", None).when("has_textbox", "text_box").when("has_drawing", "drawing").otherwise("empty").alias("empty_host"),
+        F.when(F.col("whole") != "", None).when(F.col("has_textbox"), "text_box").when(F.col("has_drawing"), "drawing").otherwise("empty").alias("empty_host"),
     )
