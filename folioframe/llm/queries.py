@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, html_crf, langid, mixing, sharding, simhash, token_counts, url_filter
+from . import bpe, exact_dedup, fingerprint, html_crf, langid, mixing, phrases, sharding, simhash, token_counts, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -56,7 +56,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_simhash, op5_mixing, op6_html, op7_fingerprint, op8_sharding, op9_token_counts, op10_url_filter)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language; a null ``lang`` is ``und``."""
+    return phrases.collocations(table(spark, sf_dir, "documents")).withColumnRenamed("group", "lang")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_simhash, op5_mixing, op6_html, op7_fingerprint, op8_sharding, op9_token_counts, op10_url_filter, op13_phrases)}
 
 #: DuckDB statements; the other operators are not expressible in SQL and are
 #: held against brute force in tests/llm.
@@ -65,4 +70,31 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_phrases": """
+        WITH texts AS (
+          SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        pieces AS (
+          SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda w: w <> '') AS ws
+          FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM texts)),
+        sizes AS (SELECT lang, sum(len(ws)) AS n FROM pieces GROUP BY lang),
+        spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces),
+        f AS (
+          SELECT lang, g, any_value(len(w)) AS k, count(*) AS c, any_value(w) AS w
+          FROM (SELECT lang, w, array_to_string(w, ' ') AS g
+                FROM (SELECT lang, unnest([ws[i:i + k - 1] FOR k IN range(1, 5) IF i + k - 1 <= len(ws)]) AS w FROM spots))
+          GROUP BY lang, g HAVING count(*) >= 30),
+        cuts AS (SELECT lang, g, k, c, w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        scored AS (
+          SELECT c.lang, c.g, c.k, c.c AS a, c.cut, x.c AS l, y.c AS r, (2000000::HUGEINT * c.c) // (x.c::HUGEINT + y.c) AS score
+          FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:c.cut], ' ')
+                      JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+        hosts AS (
+          SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS g, max(c) AS host
+          FROM (SELECT lang, c, w, k, m, unnest(range(1, k - m + 2)) AS s FROM (SELECT lang, c, w, k, unnest(range(2, k)) AS m FROM f WHERE k > 2))
+          GROUP BY 1, 2),
+        kept AS (SELECT l.* FROM lowest l LEFT JOIN hosts h USING (lang, g) WHERE host IS NULL OR 100::HUGEINT * host < 80::HUGEINT * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000""",
 }
