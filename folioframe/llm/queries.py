@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, html_crf, langid, mixing, phrases, sharding, simhash, token_counts, url_filter
+from . import alignment, bpe, exact_dedup, fingerprint, html_crf, langid, mixing, phrases, sharding, simhash, token_counts, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -56,12 +56,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def token_pair():
+    """The two tokenizers of ``op12_alignment``, made where a task runs."""
+    return alignment.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), alignment.PieceBpe(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers stand for the same bytes of each document."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), token_pair)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of each language; a null ``lang`` is ``und``."""
     return phrases.collocations(table(spark, sf_dir, "documents")).withColumnRenamed("group", "lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_simhash, op5_mixing, op6_html, op7_fingerprint, op8_sharding, op9_token_counts, op10_url_filter, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_simhash, op5_mixing, op6_html, op7_fingerprint, op8_sharding, op9_token_counts, op10_url_filter, op12_alignment, op13_phrases)}
 
 #: DuckDB statements; the other operators are not expressible in SQL and are
 #: held against brute force in tests/llm.
