@@ -219,7 +219,7 @@ def _spread(splitters: tuple[np.ndarray, np.ndarray], buckets: int, most: int):
         bounds, made = cuts(upper, lower), []
         bucket = ((upper * np.uint64(0x9E3779B97F4A7C15) ^ lower) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(buckets)
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            for k in np.unique(bucket[a:b]) if buckets > 1 else [0] * (b > a):
+            for k in np.unique(bucket[a:b]) if buckets > 1 else range(int(b > a)):
                 at = a + np.flatnonzero(bucket[a:b] == k) if buckets > 1 else slice(a, b)
                 made.append((i, int(k), _bytes(upper[at], lower[at]).T.tobytes(), counts[at].astype(np.uint32).tobytes()))
         columns = zip(*made) if made else [[]] * 4

@@ -57,11 +57,12 @@ def test_equals_brute_force(odd, least, top):
     assert want and got(odd, least, top) == want
 
 
-def test_many_blocks_ranges_and_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("most_ranges", [9, 1000])
+def test_many_blocks_ranges_and_buckets(spark, monkeypatch, most_ranges):
     """Blocks of a few words, sorts of a few n-grams, ranges split by a hash: the same counts."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute([(r.text, r.lang) for r in docs.collect()], 12, 300)
-    for name, value in {"BLOCK_WORDS": 900, "HELD_GRAMS": 4000, "RANGE_GRAMS": 2000, "MOST_RANGES": 9, "SAMPLE_STEP": 7}.items():
+    for name, value in {"BLOCK_WORDS": 900, "HELD_GRAMS": 4000, "RANGE_GRAMS": 2000, "MOST_RANGES": most_ranges, "SAMPLE_STEP": 7}.items():
         monkeypatch.setattr(phrases, name, value)
     assert got(docs, 12, 300) == want
 
