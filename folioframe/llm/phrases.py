@@ -39,6 +39,16 @@ _DELIMITERS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(ord(".") if b in _DELIMITERS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def _squeezed(rows: np.ndarray) -> bytes:
+    """The rows of a byte matrix, all first bytes, all second ones and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(rows.T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _spread_out(packed: bytes, width: int, n: int) -> np.ndarray:
+    """The inverse of ``_squeezed`` for ``n`` rows of ``width`` bytes."""
+    return np.frombuffer(pa.decompress(packed, width * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, n).T
+
+
 class _Words(dict):
     """word -> its number within the block, from 1 in order of appearance."""
 
@@ -60,18 +70,18 @@ class _Block:
 
     def row(self, group: str) -> tuple:
         numbers = np.concatenate(self.numbers)
-        return group, [*self.words][1:], np.bincount(numbers, minlength=len(self.words))[1:], numbers.tobytes()
+        return group, [*self.words][1:], np.bincount(numbers, minlength=len(self.words))[1:], len(numbers), _squeezed(numbers.view(np.uint8).reshape(-1, 4))
 
 
 def _pack(least: int):
     """Map function: ``group`` and ``text`` become blocks of ``least`` words, the last ones of a task fewer."""
-    names = ["group", "words", "counts", "numbers"]
+    names = ["group", "words", "counts", "size", "numbers"]
 
     def flush(open_blocks):
         for group, block in open_blocks.items():
-            group, words, counts, numbers = block.row(group)
+            group, words, counts, size, numbers = block.row(group)
             listed = pa.ListArray.from_arrays([0, len(words)], pa.array(words, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([group]), listed, pa.ListArray.from_arrays([0, len(words)], pa.array(counts, pa.int64())), pa.array([numbers], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([group]), listed, pa.ListArray.from_arrays([0, len(words)], pa.array(counts, pa.int64())), pa.array([size], pa.int64()), pa.array([numbers], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks, held = {}, 0
@@ -87,9 +97,9 @@ def _pack(least: int):
 
 
 def blocks(docs: DataFrame, group_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``block, group, words, counts, numbers``: the table in blocks, each with its own word list (a null group is ``und``, null text empty)."""
+    """``block, group, words, counts, size, numbers``: the table in blocks, each with its own word list (a null group is ``und``, null text empty)."""
     own = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("group"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    packed = own.mapInArrow(_pack(BLOCK_WORDS), "`group` string, words array<string>, counts array<long>, numbers binary")
+    packed = own.mapInArrow(_pack(BLOCK_WORDS), "`group` string, words array<string>, counts array<long>, size long, numbers binary")
     return packed.select(F.monotonically_increasing_id().alias("block"), "*")
 
 
@@ -117,18 +127,17 @@ def dictionary(packed: DataFrame, least: int) -> DataFrame:
 
 
 def _with_ids(packed: DataFrame, words: DataFrame) -> DataFrame:
-    """``numbers, ids``: each block with the dictionary's ids of its words (number and id in one long)."""
+    """``size, numbers, ids``: each block with the dictionary's ids of its words (number and id in one long)."""
     met = _word_rows(packed).join(words.select("group", "word", "id"), ["group", "word"])
     ids = met.groupBy("block").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("id"))).alias("ids"))
-    return packed.select("block", "numbers").join(ids, "block").select("numbers", "ids")
+    return packed.select("block", "size", "numbers").join(ids, "block").select("size", "numbers", "ids")
 
 
 def _sequences(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """The ids in the order of each block's texts, 0 for a break."""
-    numbers, ids = batch.columns
-    for own, told in zip(numbers, ids):
+    for size, own, told in zip(*batch.columns):
         told = told.values.to_numpy().astype(np.uint64)
-        local = np.frombuffer(own.as_buffer(), dtype=np.uint32)
+        local = np.ascontiguousarray(_spread_out(own.as_buffer(), 4, size.as_py())).view(np.uint32).ravel()
         table = np.zeros(int(local.max()) + 1, dtype=np.uint64)
         table[told >> np.uint64(32)] = told & np.uint64(0xFFFFFFFF)
         yield table[local]
@@ -204,7 +213,7 @@ def _splitters(packed: DataFrame, words: DataFrame, ranges: int) -> tuple[np.nda
 def _spread(splitters: tuple[np.ndarray, np.ndarray], buckets: int, most: int):
     """Map function: n-grams of the blocks, ``most`` at a time run-length counted, one row per range and bucket.
 
-    A row's keys lie byte by byte (all first bytes, all second ones, ...), which packs far better.
+    A row's keys and counts are squeezed; sorted keys pack well.
     """
 
     def cuts(upper, lower):
@@ -215,15 +224,17 @@ def _spread(splitters: tuple[np.ndarray, np.ndarray], buckets: int, most: int):
         return [0, *out, len(upper)]
 
     def rows(held):
-        upper, lower, counts = run_lengths(*(np.concatenate(x) for x in zip(*held)))
+        upper, lower = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        upper, lower, counts = run_lengths(upper, lower)
         bounds, made = cuts(upper, lower), []
         bucket = ((upper * np.uint64(0x9E3779B97F4A7C15) ^ lower) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(buckets)
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
             for k in np.unique(bucket[a:b]) if buckets > 1 else range(int(b > a)):
                 at = a + np.flatnonzero(bucket[a:b] == k) if buckets > 1 else slice(a, b)
-                made.append((i, int(k), _bytes(upper[at], lower[at]).T.tobytes(), counts[at].astype(np.uint32).tobytes()))
-        columns = zip(*made) if made else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["range", "bucket", "keys", "counts"])
+                made.append((i, int(k), len(upper[at]), _squeezed(_bytes(upper[at], lower[at])), _squeezed(counts[at].astype(np.uint32).view(np.uint8).reshape(-1, 4))))
+        columns = zip(*made) if made else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "bucket", "size", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -233,7 +244,7 @@ def _spread(splitters: tuple[np.ndarray, np.ndarray], buckets: int, most: int):
                 n += len(held[-1][0])
                 if n >= most:
                     yield from rows(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from rows(held)
 
@@ -244,8 +255,9 @@ def _counted(least: int):
     """Group function: the keys of one range and bucket that occur ``least`` times or more, unused places cut off."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(16, -1).T for x in table["keys"]])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table["counts"]]).astype(np.int64)
+        sizes = table["size"].to_pylist()
+        keys, counts = (np.concatenate([_spread_out(x.as_buffer(), width, n) for x, n in zip(table[c], sizes)]) for c, width in (("keys", 16), ("counts", 4)))
+        counts = np.ascontiguousarray(counts).view(np.uint32).ravel().astype(np.int64)
         upper, lower, f = run_lengths(*_halves(keys), counts)
         often = f >= least
         lower = lower[often]
@@ -264,7 +276,7 @@ def frequent_grams(packed: DataFrame, words: DataFrame, least: int, total: int)
     wanted = -(-total * (LONGEST - 1) // RANGE_GRAMS)
     ranges = max(1, min(MOST_RANGES, wanted))
     spread = _spread(_splitters(packed, words, ranges), max(1, -(-wanted // ranges)), HELD_GRAMS)
-    rows = _with_ids(packed, words).mapInArrow(spread, "`range` int, bucket int, keys binary, counts binary")
+    rows = _with_ids(packed, words).mapInArrow(spread, "`range` int, bucket int, size long, keys binary, counts binary")
     return rows.groupBy("range", "bucket").applyInArrow(_counted(least), "gram binary, f long")
 
 
