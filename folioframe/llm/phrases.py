@@ -31,6 +31,8 @@ RANGE_GRAMS = 1_000_000
 MOST_RANGES = 20_000
 #: Expected blocks that the splitters are drawn from, and the step between the keys taken of each.
 SAMPLE_BLOCKS, SAMPLE_STEP = 64, 500
+#: Parts of a group that are ranked by themselves first.
+TOP_PARTS = 32
 #: Longest phrase, as a key holds four ids.
 LONGEST = 4
 
@@ -332,6 +334,10 @@ def collocations(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     spelled = named.join(words.select("id", "group", "word"), "id").groupBy("gram").agg(F.first("group").alias("group"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     sizes = _word_rows(packed).groupBy("group").agg(F.sum("n").alias("n"))
     rows = scored.join(spelled, "gram").join(sizes, "group")
-    order = Window.partitionBy("group").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:
+        # The first of each part of a group before the first of the group, so that no task meets all of one.
+        part = F.row_number().over(Window.partitionBy("group", "part").orderBy(*order))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(TOP_PARTS))).withColumn("rank", part).where(F.col("rank") <= top)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(*order)).cast("long"))
     return (ranked.where(F.col("rank") <= top) if top is not None else ranked).select("group", "rank", "phrase", "a", "l", "r", "n", "score")
