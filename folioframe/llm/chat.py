@@ -100,7 +100,7 @@ def conversations(
     for k, table in enumerate(tables):
         further = ways.join(table, "node", "left")
         both = F.array_compact(F.array(F.struct("node", "pos"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("pos") - 2**k).alias("pos")))))
-        ways = further.select("leaf", "depth", "score", "rank", F.explode(both).alias("x")).select("leaf", "depth", "score", "rank", "x.*")
+        ways = cut(further.select("leaf", "depth", "score", "rank", F.explode(both).alias("x")).select("leaf", "depth", "score", "rank", "x.*"))
     told = ways.join(nodes.select("node", "role", "text", "kept"), "node")
     head, body = F.concat(F.lit(BEGIN), escape_role(F.col("role")), F.lit("\n")), escape(F.col("text"))
     turns = told.select("*", F.concat(head, body, F.lit(END + "\n")).alias("piece"), F.length(head).alias("before"), F.length(body).alias("chars"))
