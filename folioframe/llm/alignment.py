@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .bpe import _byte_letters
 from .common import spare, stored
 
 #: Bytes of fragment results after which a worker's memo begins anew.
-MEMO_BYTES = 48_000_000
+MEMO_BYTES = 96_000_000
 #: Texts and bytes aligned at once.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 500, 1_000_000
 #: Parts that the links of one id pair are first summed in.
@@ -38,6 +39,10 @@ MOST_BROADCAST = 500_000
 
 #: A space after another character and before printable ASCII or a letter: both tokenizers cut before it.
 _CUT = re.compile("(?<=[^ ▁])(?= [!-~À-ÖØ-öø-ÿ])")
+#: Fragments that begin and end so, with no other space, may stand side by side.
+_PLAIN = re.compile("(?= [!-~À-ÖØ-öø-ÿ]).+[!-~À-ÖØ-öø-ÿ]", re.DOTALL)
+#: Fragments encoded as one text.
+JOINED_FRAGMENTS = 5000
 
 
 def _lengths(token_bytes: dict[int, bytes]) -> np.ndarray:
@@ -63,8 +68,32 @@ class ByteBpe:
         self.bytes = {i: b"".join([value.get(c, c.encode()) for c in token]) for token, i in vocab.items()}
         self.lengths = _lengths(self.bytes)
 
-    def encode(self, fragments: list[str]) -> list[list[int]]:
-        return [self.tokenizer.encode(x, add_special_tokens=False).ids for x in fragments]
+    def encode(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, side by side, and each fragment's number of them.
+
+        Fragments that begin and end plainly are encoded as one text, in which
+        the next one's space is a cut; the others are encoded one by one.
+        """
+        joined = [i for i, x in enumerate(fragments) if _PLAIN.fullmatch(x)]
+        alone = sorted(set(range(len(fragments))) - set(joined))
+        parts, sizes = [], np.zeros(len(fragments), dtype=np.int64)
+        for at in range(0, len(joined), JOINED_FRAGMENTS):
+            own = joined[at : at + JOINED_FRAGMENTS]
+            texts = [fragments[i] for i in own]
+            ids = np.array(self.tokenizer.encode("".join(texts), add_special_tokens=False).ids, dtype=np.int64)
+            ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(x.encode()) for x in texts])
+            past = np.searchsorted(ends, wanted) + 1
+            if (past > len(ends)).any() or (ends[past - 1] != wanted).any():
+                raise ValueError("a token lies across two fragments")
+            sizes[own] = np.diff(past, prepend=0)
+            parts.append((own, ids))
+        single = [self.tokenizer.encode(fragments[i], add_special_tokens=False).ids for i in alone]
+        sizes[alone] = list(map(len, single))
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), dtype=np.int64)
+        for own, ids in [*parts, (alone, np.fromiter(chain.from_iterable(single), dtype=np.int64))]:
+            out[ranges(starts[own], sizes[own])] = ids
+        return out, sizes
 
 
 class PieceBpe:
@@ -78,14 +107,11 @@ class PieceBpe:
         self.bytes = {i: bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
         self.lengths = _lengths(self.bytes)
 
-    def encode(self, fragments: list[str]) -> list[list[int]]:
-        """The fragments' first space is the one that the model adds."""
-        return self.model.encode([x[1:] for x in fragments], num_threads=1)
-
-
-def _flat(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    return np.fromiter((i for p in parts for i in p), dtype=np.int64, count=int(sizes.sum())), sizes
+    def encode(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, side by side, and each fragment's number of them; a fragment's first space is the one that the model adds."""
+        parts = self.model.encode([x[1:] for x in fragments], num_threads=1)
+        sizes = np.array(list(map(len, parts)), dtype=np.int64)
+        return np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(sizes.sum())), sizes
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -99,7 +125,7 @@ def align(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     Both sides have the same number of bytes.
     """
     a_end, b_end = np.cumsum(a_len), np.cumsum(b_len)
-    common = np.intersect1d(a_end, b_end)
+    common = np.intersect1d(a_end, b_end, assume_unique=True)
     first, past = np.searchsorted(b_end, a_end, "left"), np.searchsorted(b_end, a_end, "right")
     return np.searchsorted(common, a_end), np.searchsorted(common, b_end), np.repeat(np.arange(len(a_end)), past - first), ranges(first, past - first)
 
@@ -120,15 +146,9 @@ class _Fragments:
 
     def add(self, fragments: list[str], one, other) -> None:
         """Encodes and aligns fragments that have no number yet."""
-        a, a_size = _flat(one.encode(fragments))
-        b, b_size = _flat(other.encode(fragments))
+        (a, a_size), (b, b_size) = one.encode(fragments), other.encode(fragments)
         a_of, b_of = np.repeat(np.arange(len(fragments)), a_size), np.repeat(np.arange(len(fragments)), b_size)
-        ends = [(np.cumsum(a_size), a, one), (np.cumsum(b_size), b, other)]
-        right = np.ones(len(fragments), dtype=bool)
-        for i, x in enumerate(fragments):
-            raw = x.encode()
-            for end, ids, side in ends:
-                right[i] &= b"".join([side.bytes[t] for t in ids[end[i - 1] if i else 0 : end[i]].tolist()]) == raw
+        right = self._right(fragments, [(a, a_size, one), (b, b_size, other)])
         keep_a, keep_b = right[a_of], right[b_of]
         a, b, a_of, b_of = a[keep_a], b[keep_b], a_of[keep_a], b_of[keep_b]
         ga, gb, la, lb = align(one.lengths[a], other.lengths[b])
@@ -149,16 +169,32 @@ class _Fragments:
         self.held += 16 * (len(a) + len(b) + len(la)) + sum(map(len, fragments)) * 6 + 300 * len(fragments)
         self._flat = None
 
+    @staticmethod
+    def _right(fragments: list[str], sides: list[tuple]) -> np.ndarray:
+        """Whether both sides' tokens give back a fragment's bytes; looked at one by one only where the whole differs."""
+        raw = [x.encode() for x in fragments]
+        sizes = np.array(list(map(len, raw)), dtype=np.int64)
+        right = np.ones(len(raw), dtype=bool)
+        for ids, number, side in sides:
+            told, ends = list(map(side.bytes.__getitem__, ids.tolist())), np.cumsum(number)
+            total = np.append(0, np.cumsum(side.lengths[ids]))
+            if (total[ends] - total[ends - number] != sizes).any() or b"".join(told) != b"".join(raw):
+                right &= np.array([b"".join(told[e - n : e]) == x for e, n, x in zip(ends.tolist(), number.tolist(), raw)], dtype=bool)
+        return right
+
     @staticmethod
     def _written(a, b, ga, gb, groups) -> list[str]:
         """Each fragment's groups as text: decimal ids of either side, ``a1,a2|b1;a3|b2``."""
         sides = []
         for ids, group in ((a, ga), (b, gb)):
-            cuts = np.flatnonzero(np.diff(group)) + 1
-            bounds = [0, *cuts.tolist(), len(ids)] if len(ids) else [0]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            past = np.append(first[1:], len(ids))
             words = list(map(str, ids.tolist()))
-            sides.append([",".join(words[i:j]) for i, j in zip(bounds, bounds[1:])])
-        pairs, out, at = [f"{x}|{y}" for x, y in zip(*sides)], [], 0
+            said = list(map(words.__getitem__, first.tolist()))
+            for g in np.flatnonzero(past - first > 1).tolist():
+                said[g] = ",".join(words[first[g] : past[g]])
+            sides.append(said)
+        pairs, out, at = list(map("|".join, zip(*sides))), [], 0
         for n in groups.tolist():
             out.append(";".join(pairs[at : at + n]))
             at += n
