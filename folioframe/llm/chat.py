@@ -97,7 +97,8 @@ def conversations(
     edges = nodes.select("node", "up", "score")
     tables, climbed = _climb(edges)
     ways = _chosen(edges, climbed, top).select("leaf", F.col("leaf").alias("node"), "depth", "score", "rank", F.col("depth").alias("pos"))
-    for k, table in enumerate(tables):
+    # The farthest steps first: until the last rounds few paths have more than their leaf.
+    for k, table in reversed([*enumerate(tables)]):
         further = ways.join(table, "node", "left")
         both = F.array_compact(F.array(F.struct("node", "pos"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("pos") - 2**k).alias("pos")))))
         ways = cut(further.select("leaf", "depth", "score", "rank", F.explode(both).alias("x")).select("leaf", "depth", "score", "rank", "x.*"))
