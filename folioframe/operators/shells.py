@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, textnodes
+from ..session import cut
 from ..sources import definitions, scanning
 
 # Names that the package format prescribes, and what may follow a title page among section properties.
@@ -21,9 +22,9 @@ BEHIND_TITLE = ("textDirection", "bidi", "rtlGutter", "docGrid", "printerSetting
 _TYPES, _RELS, _MAIN = "[Content_Types].xml", "word/_rels/document.xml.rels", "word/document.xml"
 
 
-def shown_parts(package_parts: DataFrame) -> DataFrame:
+def shown_parts(package_parts: DataFrame, relationships: DataFrame | None = None) -> DataFrame:
     """``path, rel_id, kind, part``: the header and footer parts that main parts relate to; relationships tell, not names."""
-    rels = definitions.relationships(package_parts).where(F.col("part") == _RELS)
+    rels = (relationships or definitions.relationships(package_parts)).where(F.col("part") == _RELS)
     kind = F.regexp_extract("type", "/(header|footer)$", 1)
     return rels.where((kind != "") & F.col("resolved").isNotNull()).select("path", "rel_id", kind.alias("kind"), F.col("resolved").alias("part"))
 
@@ -47,16 +48,18 @@ def import_problems(template_parts: DataFrame) -> DataFrame:
     return kinds.unionByName(lost.distinct()).unionByName(strange)
 
 
-def wiring(template_parts: DataFrame) -> DataFrame:
+def wiring(template_parts: DataFrame, relationships: DataFrame | None = None) -> DataFrame:
     """``template, kind, type, title_page, part, new_part, new_rel``: what the last section of each template shows.
 
     New names hold a digest of the content, so they can't meet a part of
     another content in a target.
     """
+    shown = cut(shown_parts(template_parts, relationships))
+    named = template_parts.join(shown.select("path", "part").distinct(), ["path", "part"], "left_semi").select("path", "part", _digest(F.col("content")).alias("digest"))
     last = definitions.sections(template_parts).groupBy("path").agg(F.max_by(F.struct("section_index", "title_page"), "section_index").alias("s")).select("path", "s.*")
     refs = definitions.header_footer_refs(template_parts).join(last, ["path", "section_index"]).where("rel_id IS NOT NULL")
-    full = refs.join(shown_parts(template_parts).drop("kind"), ["path", "rel_id"]).join(template_parts.select("path", "part", "content"), ["path", "part"])
-    stem = F.concat_ws("_", "kind", _digest(F.col("content")))
+    full = refs.join(shown.drop("kind"), ["path", "rel_id"]).join(named, ["path", "part"])
+    stem = F.concat_ws("_", "kind", "digest")
     return full.select(F.col("path").alias("template"), "kind", "type", "title_page", "part", F.concat(F.lit("word/"), stem, F.lit(".xml")).alias("new_part"), F.concat(F.lit("rId_"), stem).alias("new_rel"))
 
 
@@ -120,34 +123,33 @@ def imported(target_parts: DataFrame, template_parts: DataFrame, assigned: DataF
     parts leave; pictures come along under names of their content; links to
     the outside stay as they are.
     """
-    wires = wiring(template_parts)
-    used = assigned.join(wires.select("template").distinct(), "template", "left_semi")
+    # What is small is read once; contents join what was worked out from it at the end.
+    own_rels = cut(definitions.relationships(template_parts))
+    wires = cut(wiring(template_parts, own_rels))
+    used = cut(assigned.join(wires.select("template").distinct(), "template", "left_semi"))
     contents = template_parts.select(F.col("path").alias("template"), "part", "content")
     heads = wires.select("template", "part", "new_part").distinct()
-    rels = definitions.relationships(template_parts).where("NOT external AND resolved IS NOT NULL").withColumnRenamed("path", "template")
+    rels = own_rels.where("NOT external AND resolved IS NOT NULL").withColumnRenamed("path", "template")
     rels = rels.join(heads.select("template", _rels_of(F.col("part")).alias("part"), _rels_of(F.col("new_part")).alias("new_part")), ["template", "part"])
     extension = F.lower(F.regexp_extract("resolved", r"[.]([^./]+)$", 1))
-    media = rels.join(contents.select("template", F.col("part").alias("resolved"), "content"), ["template", "resolved"])
-    media = media.select("template", "part", "new_part", "rel_id", "content", extension.alias("extension"), F.concat(F.lit("media/"), _digest(F.col("content")), F.lit("."), extension).alias("target"))
+    pictures = rels.join(contents.select("template", F.col("part").alias("resolved"), _digest(F.col("content")).alias("digest")), ["template", "resolved"])
+    media = cut(pictures.select("template", "resolved", "part", "new_part", "rel_id", extension.alias("extension"), F.concat(F.lit("media/"), "digest", F.lit("."), extension).alias("target")))
     targets = media.groupBy("template", "part").agg(F.collect_list(F.struct("rel_id", "target")).alias("targets"))
     homes = heads.select("template", _rels_of(F.col("part")).alias("part"), _rels_of(F.col("new_part")).alias("new_part"))
     texts = contents.join(homes, ["template", "part"]).join(targets, ["template", "part"], "left")
     empty = F.array().cast("array<struct<rel_id:string,target:string>>")
     made = texts.select("template", F.col("new_part").alias("part"), markup.decoded(F.col("content")).alias("text"), F.coalesce("targets", empty).alias("targets")).mapInPandas(_retargeted, "template string, part string, text string")
-    new = (
-        contents.join(heads, ["template", "part"]).select("template", F.col("new_part").alias("part"), "content")
-        .unionByName(made.select("template", "part", markup.encoded(F.col("text")).alias("content")))
-        .unionByName(media.select("template", F.concat(F.lit("word/"), "target").alias("part"), "content"))
-    )
-    gone = shown_parts(target_parts).join(used, "path", "left_semi").select("path", "part").distinct()
+    renamed = heads.unionByName(media.select("template", F.col("resolved").alias("part"), F.concat(F.lit("word/"), "target").alias("new_part")).distinct())
+    new = contents.join(renamed, ["template", "part"]).select("template", F.col("new_part").alias("part"), "content").unionByName(made.select("template", "part", markup.encoded(F.col("text")).alias("content")))
+    gone = cut(shown_parts(target_parts).join(used, "path", "left_semi").select("path", "part").distinct())
     per = wires.groupBy("template").agg(F.array_sort(F.collect_set(F.struct("kind", "type", "title_page", "new_part", "new_rel"))).alias("wires"))
     images = media.groupBy("template").agg(F.collect_set("extension").alias("images"))
     names = gone.groupBy("path").agg(F.collect_set("part").alias("gone"))
     none = F.array().cast("array<string>")
-    plan = used.join(per, "template").join(images, "template", "left").join(names, "path", "left").select("path", "wires", F.coalesce("images", none).alias("images"), F.coalesce("gone", none).alias("gone"))
+    plan = cut(used.join(per, "template").join(images, "template", "left").join(names, "path", "left").select("path", "wires", F.coalesce("images", none).alias("images"), F.coalesce("gone", none).alias("gone")))
     files = target_parts.where(F.col("part").isin(_TYPES, _RELS, _MAIN)).join(plan, "path").select("path", "part", markup.decoded(F.col("content")).alias("text"), "wires", "images", "gone")
     rewired = files.mapInPandas(_rewired, "path string, part string, text string").select("path", "part", markup.encoded(F.col("text")).alias("content"))
-    replacements = rewired.unionByName(used.join(new, "template").select("path", "part", "content").dropDuplicates(["path", "part"]))
+    replacements = cut(rewired.unionByName(used.join(new, "template").select("path", "part", "content").dropDuplicates(["path", "part"])))
     leave = gone.unionByName(gone.select("path", _rels_of(F.col("part")).alias("part")))
     return replacements, leave.join(replacements.select("path", "part"), ["path", "part"], "left_anti")
 
