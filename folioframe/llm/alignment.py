@@ -21,17 +21,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _byte_letters
-from .common import spare, stored
+from .common import pieces, spare, stored
 
 #: Bytes of fragment results after which a worker's memo begins anew.
 MEMO_BYTES = 96_000_000
-#: Texts and bytes aligned at once.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 500, 1_000_000
 #: Parts that the links of one id pair are first summed in.
 SALTS = 16
 #: Most id pairs that are broadcast (24 bytes each); more are joined by a shuffle.
@@ -237,25 +234,14 @@ class Aligner:
         return [n if right[n].all() else n[:0] for n in numbers]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Kept columns and texts of few rows at a time, by rows and bytes."""
-    for whole in batches:
-        at = 0
-        sizes = np.cumsum([0, *pc.fill_null(pc.binary_length(whole.columns[-1]), 0).to_numpy()])
-        while at < whole.num_rows:
-            past = min(at + ROWS_AT_ONCE, whole.num_rows, max(at + 1, int(np.searchsorted(sizes, sizes[at] + BYTES_AT_ONCE, "right")) - 1))
-            *kept, texts = whole.slice(at, past - at).columns
-            yield kept, texts.to_pylist()
-            at = past
-
-
 def _run(make: Callable, names: list[str], fields: dict[str, pa.DataType], rows: Callable):
     """Map function over kept columns and a text: ``rows`` gives the fields' columns for a batch's fragment numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*make())
-        for kept, texts in _batches(batches):
-            numbers = aligner.batch(texts)
+        for batch in chain.from_iterable(map(pieces, batches)):
+            *kept, texts = batch.columns
+            numbers = aligner.batch(texts.to_pylist())
             made = [pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(rows(aligner.memo, numbers), fields.values())]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[*names, *fields])
 

@@ -15,16 +15,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import per_text
+from .common import lone, per_text
 
-#: Words held by one generation of a worker's memo; two generations are kept.
-MEMO_WORDS = 50_000
+#: Bytes, by estimate, of one generation of a worker's memo; two generations are kept.
+MEMO_BYTES = 12 << 20
 
 _FRAGMENT = re.compile("[^ \t\n\r\f\v]+")
 #: Letters for which lower-casing and the word pattern below agree with the
@@ -45,15 +44,17 @@ class _Memo(dict):
     """word -> (ids, tokens); the older of two generations is dropped when full."""
 
     def __init__(self, compute):
-        self.compute, self.older = compute, {}
+        self.compute, self.older, self.held = compute, {}, 0
 
     def __missing__(self, word):
         got = self.older.get(word) or self.compute(word)
-        if len(self) >= MEMO_WORDS:
-            self.older = dict(self)
+        if self.held >= MEMO_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
         if len(word) <= 128:
             self[word] = got
+            # Three strings, a pair and a place in the table besides the letters.
+            self.held += 300 + len(word) + len(got[0]) + len(got[1])
         return got
 
 
@@ -128,9 +129,8 @@ class ForcedBoundaryEncoder:
         return " ".join([self.texts[i] for i in ids if i in self.texts])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
-    return ForcedBoundaryEncoder(path)
+    return lone(("encoder", path), lambda: ForcedBoundaryEncoder(path))
 
 
 def _count(row: tuple[str, str]) -> int:

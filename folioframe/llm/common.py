@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +69,35 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Rows handed on in one Arrow batch by ``per_text``.
-ROWS_PER_BATCH = 500
+#: Rows, and bytes of their texts, handed on in one Arrow batch (one row at least).
+ROWS_PER_BATCH, BYTES_PER_BATCH = 500, 1 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch whose last column is the text, in slices of few rows and bytes."""
+    last = batch.columns[-1]
+    sized = pa.types.is_string(last.type) or pa.types.is_binary(last.type) or pa.types.is_large_string(last.type)
+    ends = np.cumsum([0, *(pc.fill_null(pc.binary_length(last), 0).to_numpy() if sized else np.zeros(len(last), dtype=np.int64))])
+    at = 0
+    while at < batch.num_rows:
+        past = min(at + ROWS_PER_BATCH, batch.num_rows, max(at + 1, int(np.searchsorted(ends, ends[at] + BYTES_PER_BATCH, "right")) - 1))
+        yield batch.slice(at, past - at)
+        at = past
+
+
+_lone: dict = {}
+
+
+def lone(key, make: Callable):
+    """What ``make`` gives, kept by the worker until something else is asked for.
+
+    Workers outlive a stage; a tokenizer or table that only an earlier stage
+    needed must not stay beside that of the next one.
+    """
+    if key not in _lone:
+        _lone.clear()
+        _lone[key] = make()
+    return _lone[key]
 
 
 def per_text(df: DataFrame, text_col: str, keep: tuple[str, ...], fields: list[tuple[str, str, pa.DataType]], row: Callable[[str | None], tuple]) -> DataFrame:
@@ -76,8 +105,7 @@ def per_text(df: DataFrame, text_col: str, keep: tuple[str, ...], fields: list[t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_PER_BATCH):
-                batch = whole.slice(at, ROWS_PER_BATCH)
+            for batch in pieces(whole):
                 *kept, texts = batch.columns
                 got = [row(x.as_py()) for x in texts]
                 made = [pa.array([r[i] for r in got], type=t) for i, (_, _, t) in enumerate(fields)]

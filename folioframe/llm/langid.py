@@ -15,15 +15,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import lone, per_text
 
 #: N-grams kept of a language and of a document.
 PROFILE_SIZE = 400
@@ -35,19 +33,20 @@ HELD = 1 << 20
 UNDETERMINED = "und"
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
+def _letter_table() -> np.ndarray:
     """Code point -> itself for letters, 0 for anything else."""
-    table = np.arange(0x110000, dtype=np.int64)
-    table[[i for i in range(0x110000) if not chr(i).isalpha()]] = 0
-    return table
+    return np.arange(0x110000, dtype=np.int32) * np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def _letters() -> np.ndarray:
+    return lone("letters", _letter_table)
 
 
 def _codes(text: str) -> np.ndarray:
     """Lower-case letters as code points, every run of others as one 0, edges marked."""
     low = unicodedata.normalize("NFC", text).lower()
     raw = np.frombuffer(low.encode("utf-32-le", "replace"), dtype="<u4")
-    codes = _letters()[raw]
+    codes = _letters()[raw].astype(np.int64)
     codes = np.concatenate([[0], codes, [0]])
     keep = codes != 0
     keep[0] = True
@@ -79,13 +78,13 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(grams)).astype(np.int64)
 
 
-def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
     size = 0
     for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"]):
-            got = _counts(text)
-            held.setdefault(lang, []).append(got)
+        for lang, text in zip(*batch.columns):
+            got = _counts(text.as_py())
+            held.setdefault(lang.as_py(), []).append(got)
             size += len(got[0])
             if size >= HELD:
                 held = {k: [_merged(v)] for k, v in held.items()}
@@ -96,10 +95,10 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _rows(held)
 
 
-def _rows(held: dict[str, list]) -> Iterator[pd.DataFrame]:
+def _rows(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
     for lang, parts in held.items():
         grams, counts = _merged(parts)
-        yield pd.DataFrame({"lang": lang, "gram": grams, "n": counts})
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
 
 
 def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE) -> DataFrame:
@@ -109,7 +108,7 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
     profiles.  Ties in frequency rank by the n-gram's code.
     """
     own = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = own.mapInPandas(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = own.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # A language's top grams are first cut within hash slices, so no task ranks a whole language.
     order = [F.desc("n"), F.asc("gram")]
     slices = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(64))).orderBy(*order)
