@@ -61,11 +61,9 @@ def _climb(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         open_before = still
         tables.append(now.where(F.col("up").isNotNull()).select("node", "up"))
         above = now.select(F.col("node").alias("up"), F.struct("up", "root", "depth", "score").alias("above"))
-        now = cut(
-            now.join(above, "up", "left").select(
-                "node", F.col("above.up").alias("up"), F.coalesce("root", "above.root").alias("root"), (F.col("depth") + F.coalesce("above.depth", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("above.score", F.lit(0.0))).alias("score")
-            )
-        )
+        # Nodes that know their root are told to others but ask no more.
+        asked = now.where(F.col("up").isNotNull()).join(above, "up").select("node", F.col("above.up").alias("up"), F.col("above.root").alias("root"), (F.col("depth") + F.col("above.depth")).alias("depth"), (F.col("score") + F.col("above.score")).alias("score"))
+        now = cut(now.where(F.col("up").isNull()).unionByName(asked))
     return tables, now.where(F.col("root").isNotNull()).select("node", "root", "depth", "score")
 
 
