@@ -29,14 +29,15 @@ def inherit(nodes: DataFrame, key: str, parent: str, props: list[str]) -> DataFr
 def closure(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """``key, node, depth``: every node with itself (depth 0) and all its ancestors, named parents without a row of their own included.
 
-    Each round goes one link further up for all nodes at once, as one join.  The
-    links must have no cycle.
+    Each round goes one link further up for all nodes at once, as one join; who
+    was found before is not found again, so a cycle ends after one turn.
     """
     own = cut(nodes.select(F.col(key).alias("__node"), F.col(parent).alias("__up")).where("__up IS NOT NULL"))
     level = cut(nodes.select(key, F.col(key).alias("node"), F.lit(0).alias("depth")))
     out = level
     while True:
-        level = cut(level.join(own, F.col("node") == F.col("__node")).select(key, F.col("__up").alias("node"), (F.col("depth") + 1).alias("depth")))
+        further = level.join(own, F.col("node") == F.col("__node")).select(key, F.col("__up").alias("node"), (F.col("depth") + 1).alias("depth"))
+        level = cut(further.join(out.select(key, "node"), [key, "node"], "left_anti"))
         if level.isEmpty():
             return out
         out = out.unionByName(level)

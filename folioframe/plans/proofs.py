@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import schemas
-from ..operators import clock, instructions, ranges
+from ..functions import cases, ordering, schemas
+from ..operators import bags, clock, instructions, ranges, sharing
+from ..sources import bundles
 from ..sources.tables import outline, table
 
 
@@ -103,7 +104,66 @@ def instruction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instructions.instruction_faults(*_instructed(spark, sf_dir))
 
 
-_FRAME = (ranges_containing, ranges_flag, single_clock, schema_violations, instruction_rules)
+def bag_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, by nines, of each order's lines before and after; by the order's key a line is gone, another, turned round or added."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 9).cast("string").alias("value"), F.col("l_linenumber").cast("long").alias("place"))
+    v, place = F.col("l_orderkey") % 5, F.col("place")
+    turned = F.when(v == 3, F.lit(8) - place).otherwise(place)
+    after = lines.where(~((v == 1) & (place == 1))).select("l_orderkey", F.when((v == 2) & (place == 2), F.lit(None)).otherwise(F.col("value")).alias("value"), turned.alias("place"))
+    more = lines.where((v == 4) & (place == 1)).select("l_orderkey", F.lit("SLED").alias("value"), F.lit(9).cast("long").alias("place"))
+    return bags.differences(lines, after.unionByName(more), ["l_orderkey"])
+
+
+def bundle_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of each supplier's name, nation and number, as name, address and phone; by the key's remainder its manifest is wrong."""
+    own = table(spark, sf_dir, "supplier")
+    each = F.explode(F.map_from_arrays(F.array(F.lit("name"), F.lit("address"), F.lit("phone")), F.array(F.col("s_name"), F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string"))))
+    held = own.select("s_suppkey", each.alias("artifact", "text")).select(F.col("s_suppkey").alias("owner"), "artifact", F.lit("text/plain").alias("media_type"), F.col("text").cast("binary").alias("content"))
+    v = F.col("owner").cast("long") % 10
+    told = bundles.manifest_of(held, ["name", "phone"])
+    name = F.col("artifact") == "name"
+    told = told.where(~((v == 1) & name)).withColumn("length", F.when((v == 2) & name, F.col("length") + 1).otherwise(F.col("length"))).withColumn("sha256", F.when((v == 3) & name, F.lit("0")).otherwise(F.col("sha256")))
+    told = told.withColumn("version", F.when((v == 4) & name, 2).otherwise(F.col("version"))).withColumn("required", F.when((v == 5) & name, F.lit(False)).otherwise(F.col("required")))
+    told = told.unionByName(told.where((v == 6) & name)).unionByName(told.where((v == 7) & name).withColumn("artifact", F.lit("../up")))
+    held = held.where(~((F.col("owner") % 10 == 8) & name)).unionByName(held.where((F.col("owner") % 10 == 9) & name))
+    return bundles.faults(told, held, ["name", "phone"])
+
+
+def list_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lists of their customer's document, their lines as paragraphs; lists share definitions and styles."""
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "path").withColumn("num_id", F.col("o_orderkey").cast("string"))
+    k = F.col("o_orderkey")
+    numbers = orders.select("path", "num_id", F.when(k % 31 != 0, (F.floor(k / 4) % 6).cast("string")).alias("abstract_id"), F.when(k % 29 == 0, "2").alias("start"), (k % 37 == 0).alias("overridden"), F.lit(None).cast("boolean").alias("restart"))
+    styles = orders.where("o_orderkey % 3 = 0").select("path", F.concat("o_orderpriority", F.col("o_orderstatus")).alias("style"), "num_id")
+    lines = table(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "path", "num_id"), F.col("l_orderkey") == F.col("o_orderkey"))
+    proven = F.when(F.col("l_partkey") % 97 != 0, F.col("l_returnflag"))
+    paragraphs = lines.select("path", (k * 10 + F.col("l_linenumber")).alias("paragraph_index"), "num_id", F.col("l_returnflag").alias("role"), proven.alias("proven_role"), (F.col("l_suppkey") % 41 != 0).alias("handled"))
+    got = sharing.convertible_lists(paragraphs, numbers, styles)
+    return got.select("path", F.col("num_id").cast("long").alias("num_id"), "paragraphs", "convertible", F.array_join("reasons", ",").alias("reasons"))
+
+
+def case_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of parts with short forms and hyphens in the case of one word or another, whole and as the second of two runs."""
+    text = F.concat("p_type", F.when(F.col("p_partkey") % 2 == 0, F.lit(" HVAC-UNIT A-b")).otherwise(F.lit("  mixed Case ÉTÉ")))
+    pattern = F.when(F.col("p_partkey") % 3 == 0, "title").when(F.col("p_partkey") % 3 == 1, "upper").otherwise("mixed")
+    runs = F.array(F.left(text, F.lit(7)), F.substr(text, F.lit(8)))
+    return table(spark, sf_dir, "part").select("p_partkey", cases.applied(text, pattern).alias("whole"), F.get(cases.applied_to_runs(runs, pattern), F.lit(1)).alias("second"))
+
+
+_CHILDREN = ("type", "pgSz", "pgMar", "custom", "cols", "titlePg", "docGrid")
+
+
+def section_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as children of a section; page size, margins and columns come from another section or go."""
+    tag = F.get(F.array(*map(F.lit, _CHILDREN)), (F.col("l_partkey") % 7).cast("int"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct(tag.alias("tag"), F.concat(F.lit("<"), tag, F.col("l_linenumber").cast("string"), F.lit(">")).alias("xml")).alias("c"))
+    target = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "c"))), lambda x: x["c"]).alias("target"))
+    given = [F.when(F.floor(F.col("l_orderkey") / 2**i) % 2 == 1, F.struct(F.lit(t).alias("tag"), F.lit(f"<new {t}>").alias("xml"))) for i, t in enumerate(("cols", "pgSz", "pgMar"))]
+    merged = ordering.merged_children(F.col("target"), F.array_compact(F.array(*given)), ["pgSz", "pgMar", "cols"])
+    return target.select("l_orderkey", F.array_join(F.transform(merged, lambda c: c["xml"]), "").alias("children"))
+
+
+_FRAME = (ranges_containing, ranges_flag, single_clock, schema_violations, instruction_rules, bag_differences, bundle_faults, list_sharing, case_applied, section_children)
 QUERIES = {f.__name__: f for f in _FRAME}
 
 _SPANS = "SELECT user_id, event_id AS range_id, a AS from_at, a + CASE WHEN event_id % 50 = 0 THEN 1000000000000 ELSE CAST(floor(abs(value) * 1000) AS BIGINT) END AS to_at FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS a FROM events) e WHERE event_type = 'purchase'"
@@ -151,4 +211,36 @@ ORACLES = {
           (11, 'shape:json', '$'), (12, 'shape:unknown', '$.roles.CHAPTER'), (12, 'shape:type', '$.notes[0]'),
           (13, 'created_exists', 'CSI_Part__ARCH'), (13, 'role_other_style', 'PART'), (13, 'applied_other_style', '2'))
         SELECT doc_id, rule, place FROM w JOIN told ON w.doc_id % 20 = v""",
+    "bag_differences": """
+        WITH b AS (SELECT l_orderkey AS k, CAST(l_suppkey % 9 AS VARCHAR) AS v, l_linenumber AS p FROM lineitem),
+        a AS (SELECT k, CASE WHEN k % 5 = 2 AND p = 2 THEN NULL ELSE v END AS v, CASE WHEN k % 5 = 3 THEN 8 - p ELSE p END AS p FROM b WHERE NOT (k % 5 = 1 AND p = 1)
+              UNION ALL SELECT k, 'SLED', 9 FROM b WHERE k % 5 = 4 AND p = 1),
+        n AS (SELECT coalesce(x.k, y.k) AS k, coalesce(x.v, y.v) AS v, coalesce(x.n, 0) - coalesce(y.n, 0) AS n
+              FROM (SELECT k, v, count(*) AS n FROM b GROUP BY 1, 2) x FULL JOIN (SELECT k, v, count(*) AS n FROM a GROUP BY 1, 2) y ON x.k = y.k AND x.v IS NOT DISTINCT FROM y.v)
+        SELECT k AS l_orderkey, CASE WHEN n > 0 THEN 'lost' ELSE 'gained' END AS change, v AS value, abs(n) AS n FROM n WHERE n <> 0
+        UNION ALL SELECT k, 'moved', v, sum(m) FROM (SELECT k, v, p, greatest(sum(s), 0) AS m FROM (SELECT k, v, p, 1 AS s FROM b UNION ALL SELECT k, v, p, -1 FROM a) u WHERE k % 5 = 3 GROUP BY 1, 2, 3) t GROUP BY 1, 3 HAVING sum(m) > 0""",
+    "bundle_faults": """
+        SELECT CAST(s_suppkey AS VARCHAR) AS owner, artifact, fault FROM supplier JOIN (VALUES
+          (1, 'name', 'unlisted'), (1, 'name', 'required'), (2, 'name', 'length'), (3, 'name', 'digest'), (4, 'name', 'format'), (5, 'name', 'required'), (6, 'name', 'listed_twice'),
+          (7, '../up', 'unsafe_id'), (7, '../up', 'missing'), (8, 'name', 'missing'), (9, 'name', 'held_twice')) t(v, artifact, fault) ON s_suppkey % 10 = v""",
+    "list_sharing": """
+        WITH RECURSIVE o AS (SELECT o_custkey AS path, o_orderkey AS k, CASE WHEN o_orderkey % 31 <> 0 THEN CAST(floor(o_orderkey / 4) AS BIGINT) % 6 END AS def, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || o_orderstatus END AS style FROM orders),
+        e AS (SELECT a.path, a.k AS x, b.k AS y FROM o a JOIN o b ON a.path = b.path AND (a.def = b.def OR a.style = b.style)),
+        r(path, x, y) AS (SELECT path, k, k FROM o UNION SELECT r.path, r.x, e.y FROM r JOIN e ON e.path = r.path AND e.x = r.y),
+        w AS (SELECT path, k, 'start' AS why FROM o WHERE k % 29 = 0 UNION SELECT path, k, 'override' FROM o WHERE k % 37 = 0 UNION SELECT path, k, 'no_definition' FROM o WHERE k % 31 = 0
+              UNION SELECT path, k, 'not_handled' FROM o JOIN lineitem ON l_orderkey = k WHERE l_suppkey % 41 = 0 UNION SELECT path, k, 'other_role' FROM o JOIN lineitem ON l_orderkey = k WHERE l_suppkey % 41 <> 0 AND l_partkey % 97 = 0)
+        SELECT o.path, o.k AS num_id, (SELECT count(*) FROM lineitem WHERE l_orderkey = o.k) AS paragraphs, count(w.why) = 0 AS convertible, coalesce(string_agg(DISTINCT w.why, ',' ORDER BY w.why), '') AS reasons
+        FROM o JOIN r ON r.path = o.path AND r.x = o.k LEFT JOIN w ON w.path = r.path AND w.k = r.y GROUP BY o.path, o.k""",
+    "case_applied": """
+        WITH t AS (SELECT p_partkey, p_type || CASE WHEN p_partkey % 2 = 0 THEN ' HVAC-UNIT A-b' ELSE '  mixed Case ÉTÉ' END AS x FROM part),
+        w AS (SELECT p_partkey, x, CASE p_partkey % 3 WHEN 1 THEN upper(x) WHEN 2 THEN x
+            ELSE array_to_string([upper(y[1]) || lower(y[2:]) FOR y IN string_split(p_type_only, ' ')], ' ') || CASE WHEN p_partkey % 2 = 0 THEN ' HVAC-Unit A-b' ELSE '  mixed Case Été' END END AS whole
+          FROM t JOIN (SELECT p_partkey, p_type AS p_type_only FROM part) p USING (p_partkey))
+        SELECT p_partkey, whole, substr(whole, 8) AS second FROM w""",
+    "section_children": """
+        WITH tags(tag, rank, i) AS (VALUES ('type', 5, 0), ('pgSz', 6, 1), ('pgMar', 7, 2), ('custom', 0, 3), ('cols', 12, 4), ('titlePg', 16, 5), ('docGrid', 20, 6)),
+        kept AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, tag) - 1 AS pos, 1 AS kind, rank, '<' || tag || l_linenumber || '>' AS xml FROM lineitem JOIN tags ON l_partkey % 7 = i WHERE tag NOT IN ('pgSz', 'pgMar', 'cols')),
+        given AS (SELECT k, tag, rank FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o JOIN (VALUES ('cols', 12, 1), ('pgSz', 6, 2), ('pgMar', 7, 4)) g(tag, rank, bit) ON (k // bit) % 2 = 1),
+        placed AS (SELECT g.k, coalesce((SELECT min(pos) FROM kept c WHERE c.k = g.k AND c.rank > g.rank), (SELECT count(*) FROM kept c WHERE c.k = g.k)) AS pos, 0 AS kind, rank, '<new ' || tag || '>' AS xml FROM given g)
+        SELECT o.k AS l_orderkey, coalesce(string_agg(xml, '' ORDER BY pos, kind, rank), '') AS children FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o LEFT JOIN (SELECT * FROM kept UNION ALL SELECT * FROM placed) u ON u.k = o.k GROUP BY 1""",
 }
