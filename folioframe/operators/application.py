@@ -129,6 +129,8 @@ def run(package_parts: DataFrame, template_parts: DataFrame, entries: DataFrame,
     parts (``origin`` is ``kept`` for all), an unreadable one has none.
     """
     policy = restyle.POLICIES[mode]
+    # Every reader below goes over the parts; packages are opened once.
+    package_parts, template_parts = cut(package_parts.select("path", "part", "content", "fault")), cut(template_parts.select("path", "part", "content", "fault"))
     broken = package_parts.where("fault IS NOT NULL").select("path", F.lit("package").alias("code"), F.col("fault").alias("detail"))
     sound = package_parts.where("fault IS NULL")
     paths = cut(sound.select("path").distinct())

@@ -9,7 +9,7 @@ from ..functions import markup, roles, texts
 from ..operators import diff, graph, outline, rules
 from ..sources.tables import doc_lines, sql, table
 from ..sources.tables import outline as outline_view
-from . import contracts, evidence, proofs, transforms  # noqa: F401  the last adds its statements
+from . import contracts, evidence, made_packages, proofs, transforms  # noqa: F401  the last adds its statements
 from .dialects import Duck, Spark
 from .outline_sql import CLEAN, COUNTED, GATED, LABEL, MARKED, NUMBER
 from .statements import STATEMENTS
@@ -160,7 +160,7 @@ def _said(text: str):
     return lambda spark, sf_dir: sql(spark, sf_dir, text)
 
 
-QUERIES = {name: _said(f(Spark)) for name, f in STATEMENTS.items()} | {f.__name__: f for f in _FRAME} | evidence.QUERIES | proofs.QUERIES
+QUERIES = {name: _said(f(Spark)) for name, f in STATEMENTS.items()} | {f.__name__: f for f in _FRAME} | evidence.QUERIES | proofs.QUERIES | made_packages.QUERIES
 
 _LOW = "lower(t)"
 _CHUNKS = """
@@ -225,4 +225,4 @@ ORACLES = {name: f(Duck) for name, f in STATEMENTS.items()} | {
         SELECT k AS p_partkey, arg_min(brand, depth) FILTER (brand IS NOT NULL) AS brand, arg_min(size, depth) FILTER (size IS NOT NULL) AS size FROM j GROUP BY k""",
     "before_after_diff": f"WITH {_AFTER} SELECT o_orderkey, kind, changed FROM r",
     "allowed_diff": f"WITH {_AFTER} SELECT o_orderkey, kind, changed FROM r WHERE kind <> 'changed' OR changed <> 'o_totalprice'",
-} | evidence.ORACLES | proofs.ORACLES
+} | evidence.ORACLES | proofs.ORACLES | made_packages.ORACLES
