@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import application, invariants
+from ..sources import environment, writing
 from ..sources.tables import table
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -73,7 +74,29 @@ def protected_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("path", "kind", "change").agg(F.count_distinct("owner").alias("owners"), F.sum("n").alias("n"))
 
 
-_FRAME = (policy_run, protected_structures)
+_FONT = '<w:font w:name="{}"><w:panose1 w:val="{}"/></w:font>'
+
+
+def environment_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What surrounds the text of each nation's package once a template's environment is in it: some have fonts, some settings of their own."""
+    parts, rows = _packages(spark, sf_dir)
+    keyed = rows.select("path", "k").distinct()
+    fonts = keyed.where("k % 3 = 0").select("path", F.lit(environment.PARTS["fontTable"]).alias("part"), F.lit(f"<w:fonts {_W}>{_FONT.format('B', 'own')}</w:fonts>").alias("text"))
+    settings = keyed.where("k % 3 = 1").select("path", F.lit(environment.PARTS["settings"]).alias("part"), F.lit(f"<w:settings {_W}><w:zoom/><w:compat><w:own/></w:compat></w:settings>").alias("text"))
+    more = fonts.unionByName(settings).select("path", "part", F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("fault"))
+    targets = parts.unionByName(more.join(parts.where("fault IS NULL").select("path").distinct(), "path", "left_semi"))
+    given = {
+        environment.PARTS["settings"]: F.lit(f"<w:settings {_W}><w:protect/><w:compat><w:flag/></w:compat></w:settings>"), environment.PARTS["fontTable"]: F.lit(f"<w:fonts {_W}>{_FONT.format('A', 'new')}{_FONT.format('B', 'new')}</w:fonts>"),
+        environment.PARTS["theme"]: F.lit('<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"/>'),
+    }
+    one = spark.range(1).select(F.lit("template").alias("path"))
+    template = environment.scanned(_parts(one, F.lit(f"<w:document {_W}><w:body/></w:document>"), F.lit(f'<w:styles {_W}><w:docDefaults><w:rPrDefault><w:rPr><w:b/></w:rPr></w:rPrDefault></w:docDefaults></w:styles>'), F.lit(f"<w:numbering {_W}/>"), given))
+    after = writing.patched(targets, environment.applied(targets, template)).withColumn("fault", F.lit(None).cast("string"))
+    told = environment.scanned(after).where("kind IN ('defaults', 'theme', 'compat_flag', 'setting', 'font')")
+    return told.select("path", "kind", "key", F.contains("value", F.lit("own")).alias("own"))
+
+
+_FRAME = (policy_run, protected_structures, environment_applied)
 QUERIES = {f.__name__: f for f in _FRAME}
 
 _NATIONS = "SELECT n_name AS path, n_nationkey AS k, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2"
@@ -87,4 +110,8 @@ ORACLES = {
         WITH p AS ({_NATIONS})
         SELECT path, kind, change, CASE WHEN kind = 'runs' THEN n ELSE 1 END AS owners, CASE WHEN kind = 'runs' THEN n ELSE 1 END AS n FROM p
         JOIN (VALUES (1, 'section'), (2, 'layout'), (3, 'list'), (4, 'media'), (4, 'part'), (5, 'runs')) t(v, kind) ON k % 7 = v CROSS JOIN (VALUES ('lost'), ('gained')) c(change) WHERE k % 5 <> 4""",
+    "environment_applied": f"""
+        WITH p AS ({_NATIONS})
+        SELECT path, kind, key, own FROM p JOIN (VALUES ('defaults', 'rPr', false, -1), ('defaults', 'pPr', false, -1), ('theme', '', false, -1), ('compat_flag', 'flag', false, -1), ('setting', 'zoom', false, 1), ('font', 'A', false, -1), ('font', 'B', true, 0), ('font', 'B', false, -2)) t(kind, key, own, v)
+        ON v = -1 OR v = k % 3 OR (v = -2 AND k % 3 <> 0) WHERE k % 5 <> 4""",
 }

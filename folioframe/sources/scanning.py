@@ -48,6 +48,30 @@ def spans(xml: str, name: str = "w:p") -> Iterator[tuple[int, int, bool]]:
         raise ValueError(f"<{stack[-1]}> is never closed")
 
 
+def children(xml: str) -> Iterator[tuple[str, int, int]]:
+    """``name, start, end`` of the elements directly below the outermost one; tags that don't match raise ValueError."""
+    stack: list[str] = []
+    begin = 0
+    for tag in _TAG.finditer(xml):
+        closing, which, rest = tag.groups()
+        if which is None:
+            continue
+        if closing:
+            if not stack or stack.pop() != which:
+                raise ValueError(f"</{which}> closes nothing at {tag.start()}")
+            if len(stack) == 1:
+                yield which, begin, tag.end()
+        elif rest.endswith("/"):
+            if len(stack) == 1:
+                yield which, tag.start(), tag.end()
+        else:
+            if len(stack) == 1:
+                begin = tag.start()
+            stack.append(which)
+    if stack:
+        raise ValueError(f"<{stack[-1]}> is never closed")
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, text in zip(batch["path"], batch["text"]):
