@@ -49,7 +49,7 @@ def convertible_lists(paragraphs: DataFrame, numbers: DataFrame, style_numbers:
     used = paragraphs.where("num_id IS NOT NULL")
     lists = numbers.select("path", "num_id", "abstract_id").distinct()
     links = (
-        lists.where("abstract_id IS NOT NULL").select("path", node("num", "num_id").alias("src"), node("abstract", "abstract_id").alias("dst"))
+        lists.select("path", node("num", "num_id").alias("src"), F.coalesce(node("abstract", "abstract_id"), node("num", "num_id")).alias("dst"))
         .unionByName(style_numbers.where("num_id IS NOT NULL").select("path", node("style", "style").alias("src"), node("num", "num_id").alias("dst")))
         .unionByName(used.select("path", node("num", "num_id").alias("src"), node("num", "num_id").alias("dst")))
     )

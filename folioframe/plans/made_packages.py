@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import application, invariants
+from ..operators import application, invariants, tokens
 from ..sources import environment, writing
 from ..sources.tables import table
 
@@ -96,7 +96,23 @@ def environment_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("path", "kind", "key", F.contains("value", F.lit("own")).alias("own"))
 
 
-_FRAME = (policy_run, protected_structures, environment_applied)
+def shell_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers and footers of each nation's customers agree on, and a footer with new tokens; by the key they differ in one thing or another."""
+    own = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    v, nth = F.col("n_nationkey") % 6, F.col("c_custkey") % 4
+    number, title = F.concat(F.lpad((F.col("n_nationkey") % 40 + 10).cast("string"), 2, "0"), F.lit(" 10 00")), F.concat(F.initcap(F.translate("n_name", "0123456789", "abcdefghij")), F.lit(" Work"))
+    text = F.when(nth == 0, F.concat(F.lit("SECTION "), F.when((v == 1) & (F.col("c_custkey") % 8 == 0), F.lit("99 10 00")).otherwise(number))).when(nth == 1, F.concat(number, F.lit(" "), F.when((v == 2) & (F.col("c_custkey") % 8 == 1), F.lit("Other Work")).otherwise(title), F.lit(".docx")))
+    text = text.when(nth == 2, F.when(v == 3, F.lit("Nothing alike")).otherwise(F.upper(title))).otherwise(F.when(v == 4, F.lit("DIVISION 98")).otherwise(F.concat(F.lit("Division "), F.left(number, F.lit(2)))))
+    kind = F.when(nth == 1, "footer").otherwise("header")
+    # Each line of a shell is seen in both of its mirrored forms.
+    texts = own.select(F.col("n_name").alias("path"), kind.alias("kind"), text.alias("text"), F.explode(F.array(F.lit(0), F.lit(1))).alias("form"))
+    got = tokens.inferred(texts)
+    new = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.lit("770000").alias("new_section"), F.lit("New").alias("new_title"))
+    told = tokens.replaced(texts, got, new).groupBy("path").agg(F.count_if(F.col("new_text") != F.col("text")).alias("changed"), F.min(F.when(F.col("kind") == "footer", F.col("new_text"))).alias("footer"))
+    return got.join(told, "path").select("path", "section", "division", "title", F.array_join("aliases", "|").alias("aliases"), "code", "changed", "footer")
+
+
+_FRAME = (policy_run, protected_structures, environment_applied, shell_consensus)
 QUERIES = {f.__name__: f for f in _FRAME}
 
 _NATIONS = "SELECT n_name AS path, n_nationkey AS k, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2"
@@ -114,4 +130,15 @@ ORACLES = {
         WITH p AS ({_NATIONS})
         SELECT path, kind, key, own FROM p JOIN (VALUES ('defaults', 'rPr', false, -1), ('defaults', 'pPr', false, -1), ('theme', '', false, -1), ('compat_flag', 'flag', false, -1), ('setting', 'zoom', false, 1), ('font', 'A', false, -1), ('font', 'B', true, 0), ('font', 'B', false, -2)) t(kind, key, own, v)
         ON v = -1 OR v = k % 3 OR (v = -2 AND k % 3 <> 0) WHERE k % 5 <> 4""",
+    # Packages of which every kind of line was seen; a kind seen at all was seen twice.
+    "shell_consensus": """
+        WITH c AS (SELECT n_name AS path, n_nationkey % 6 AS v, c_custkey % 4 AS nth, c_custkey % 8 AS eighth, CAST(n_nationkey % 40 + 10 AS VARCHAR) AS d,
+            list_aggregate([upper(w[1]) || lower(w[2:]) FOR w IN string_split(translate(n_name, '0123456789', 'abcdefghij'), ' ')], 'string_agg', ' ') || ' Work' AS title FROM customer JOIN nation ON n_nationkey = c_nationkey),
+        g AS (SELECT path, any_value(v) AS v, any_value(d) AS d, any_value(title) AS title, count(*) AS n, bool_or(nth = 0) AS s, bool_or(nth = 0 AND eighth = 0) AS s8, bool_or(nth = 0 AND eighth <> 0) AS s4, bool_or(nth = 1) AS f, bool_or(nth = 1 AND eighth = 1) AS f1, bool_or(nth = 1 AND eighth <> 1) AS f5,
+            bool_or(nth = 2) AS h, bool_or(nth = 3) AS x FROM c GROUP BY path),
+        k AS (SELECT *, CASE WHEN NOT s THEN 'no_support' WHEN v = 1 AND s8 AND s4 THEN 'ambiguous_section' WHEN v = 1 AND s8 THEN 'no_support' WHEN NOT f THEN 'no_support' WHEN v = 2 AND f1 AND f5 THEN 'ambiguous_title'
+            WHEN v = 2 AND f1 THEN 'no_support' WHEN NOT h OR v = 3 THEN 'no_support' WHEN v = 4 AND x THEN 'division_conflict' END AS code FROM g)
+        SELECT path, CASE WHEN code IS NULL THEN d || '1000' END AS section, CASE WHEN code IS NULL AND x THEN d END AS division, CASE WHEN code IS NULL THEN title END AS title,
+               CASE WHEN code IS NULL THEN upper(title) || '|' || title END AS aliases, code, CASE WHEN code IS NULL THEN 2 * n ELSE 0 END AS changed,
+               CASE WHEN NOT f THEN NULL WHEN code IS NULL THEN '77 00 00 New.docx' WHEN v = 2 AND f1 AND (NOT f5 OR 'Other Work' < title) THEN d || ' 10 00 Other Work.docx' ELSE d || ' 10 00 ' || title || '.docx' END AS footer FROM k""",
 }
