@@ -2,9 +2,11 @@
 
 Pages are made by rule from a seed: layouts of menus, headers, notices,
 adverts, sidebars, forms, comments and footers around an article, in invented
-words.  The article stands in a telling element, in one with a name that says
-nothing, in nested ones or in a table's cell, and by-lines, adverts and reader
-comments stand within it, too.  Every piece of text knows whether it belongs to
+words.  Some pages begin or end with their article, some have nothing else, some
+no tags at all.  The article stands in a telling element, in one with a name
+that says nothing, in nested ones, in a table's cell or right in the body, has
+one paragraph or many, and by-lines, asides, forms, adverts and reader comments
+stand within it, too.  Every piece of text knows whether it belongs to
 the article, so the labels are exact.  ``OTHERS`` are layouts kept out of
 training, to see how the extractor does on pages unlike those it learned from.
 """
@@ -24,7 +26,7 @@ NOISE_NAMES = {
     "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "sponsor"],
     "share": ["share", "social", "tags", "meta", "byline", "toolbar"],
     "byline": ["byline", "author", "dateline", "meta", "posted", "published"],
-    "comments": ["comments", "comment", "comment-list", "reply", "discussion", "respond"],
+    "comments": ["comments", "comment", "comment-list", "commentlist", "reply", "discussion", "respond"],
 }
 #: The mark of article text in a generated page (a private-use letter).
 MARK = ""
@@ -67,16 +69,38 @@ class _Page:
         prose = {
             "nav": lambda: f"<ul>{links(rng.randint(3, 9))}</ul>",
             "header": lambda: f"<h1>{self.label()}</h1><p>{self.prose(2, 8)}</p>" if rng.random() < 0.5 else f'<a href="/">{self.label()}</a>',
-            "footer": lambda: f"&copy; {self.label()} &middot; {self.prose(3, 30)}",
+            "footer": lambda: rng.choice([f"&copy; {self.label()} &middot; {self.prose(3, 30)}", f"Copyright {rng.randint(1996, 2026)} {self.label()}", f"<p>{self.prose(3, 20)} All rights reserved.</p>", f"<ul>{links(3)}</ul><p>{self.prose(2, 12)}</p>"]),
             "aside": lambda: f"<h3>{self.label()}</h3><ul>{links(rng.randint(2, 6))}</ul>" + (f"<p>{self.prose(5, 40)}</p>" if rng.random() < 0.5 else ""),
             "notice": lambda: f"<p>{self.prose(5, 40)}</p><button>{self.label()}</button>",
             "ad": lambda: self.prose(3, 40) if rng.random() < 0.6 else f'<a href="http://ad.example/">{self.prose(3, 15)}</a>',
             "share": lambda: f"<span>{self.label()}</span> <a>{self.label()}</a> <a>{self.label()}</a>",
             "byline": lambda: f"<p>{self.label()}, <a href='/by'>{self.label()}</a>, {rng.randint(1, 30)}.{rng.randint(1, 12)}.{rng.randint(1999, 2026)}</p>" if rng.random() < 0.5 else f"{self.label()} <time>{rng.randint(1999, 2026)}</time>",
-            "comments": lambda: f"<h3>{self.label()}</h3>" + "".join(f'<div class="comment"><b>{self.label()}</b><p>{self.prose(5, 80)}</p></div>' for _ in range(rng.randint(1, 5))),
+            "comments": lambda: self.comments(),
         }[kind]()
         return f"{start}{prose}</{tag}>"
 
+    def comments(self) -> str:
+        """Readers' words, in boxes or in a list."""
+        rng, n = self.rng, self.rng.randint(1, 5)
+        said = [f"<b>{self.label()}</b><p>{self.prose(2, 80)}</p>" for _ in range(n)]
+        head = f"<h3>{self.label()}</h3>" if rng.random() < 0.7 else ""
+        if rng.random() < 0.4:
+            tag = rng.choice(["ol", "ul"])
+            return head + f'<{tag} class="{rng.choice(NOISE_NAMES["comments"])}">' + "".join(f"<li>{x}</li>" for x in said) + f"</{tag}>"
+        return head + "".join(f'<div class="comment">{x}</div>' for x in said)
+
+    def loose(self) -> str:
+        """An article without paragraph tags: boxes, or lines with breaks between."""
+        rng, n = self.rng, self.rng.randint(1, 5)
+        texts = [MARK + self.prose(8, 90) for _ in range(n)]
+        head = f"<h1>{MARK}{self.prose(1, 10)}</h1>" if rng.random() < 0.5 else ""
+        kind = rng.random()
+        if kind < 0.4:
+            return head + "".join(f"<div{self.vague() if rng.random() < 0.3 else ''}>{t}</div>" for t in texts)
+        if kind < 0.7:
+            return head + rng.choice(["<br><br>", "<br/>", "<p>"]).join(texts)
+        return (f"<center><h2>{MARK}{self.prose(1, 8)}</h2></center>" if rng.random() < 0.5 else head) + f"<font size=3>{'<p>'.join(texts)}</font>"
+
     def form(self) -> str:
         return f"<form><label>{self.label()}</label><input><select><option>{self.label()}</option></select><button>{self.label()}</button></form>"
 
@@ -88,40 +112,49 @@ class _Page:
     def article(self) -> str:
         rng, out = self.rng, []
         mark = lambda t: MARK + t
-        if rng.random() < 0.9:
+        few = rng.random() < 0.25  # one or two paragraphs, often with something between them
+        if rng.random() < (0.4 if few else 0.85):
             out.append(f"<h1>{mark(self.prose(1, 12))}</h1>")
         if rng.random() < 0.2:
             out.append(self.noise("byline"))
-        for _ in range(rng.randint(1, 9)):
+        if few:
+            for i in range(rng.randint(1, 2)):
+                between = rng.random()
+                if i and between < 0.5:
+                    out.append(self.form() if between < 0.15 else self.noise(rng.choice(["aside", "ad", "notice", "share"])))
+                out.append(f"<p>{mark(self.prose(6, 60))}</p>")
+        for _ in range(0 if few else rng.randint(1, 9)):
             kind = rng.random()
-            if kind < 0.7:
+            if kind < 0.62:
                 inner = mark(self.prose(1, rng.choice([4, 120])))
                 if rng.random() < 0.15:
                     inner = f'{inner}<img src="/{rng.randint(1, 9)}.png">'
                 if rng.random() < 0.3:
                     inner = f"<b>{inner}" + ("</b>" if rng.random() < 0.5 else "<br>")
                 out.append(f"<p>{inner}" + ("</p>" if rng.random() < 0.8 else ""))
-            elif kind < 0.78:
+            elif kind < 0.7:
                 out.append(f"<h2>{mark(self.label())}</h2>")
-            elif kind < 0.86:
+            elif kind < 0.78:
                 out.append("<ul>" + "".join(f"<li>{mark(self.prose(2, 25))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif kind < 0.9:
+            elif kind < 0.82:
                 out.append(f"<blockquote><p>{mark(self.prose(4, 40))}</p></blockquote>")
-            elif kind < 0.93:
+            elif kind < 0.85:
                 out.append("<table>" + "".join(f"<tr><td>{mark(self.label())}</td><td>{mark(self.label())}</td></tr>" for _ in range(rng.randint(2, 4))) + "</table>")
-            elif kind < 0.95:
+            elif kind < 0.87:
                 out.append(f"<pre>{mark(self.prose(2, 20))}</pre>")
             else:
-                out.append(self.noise(rng.choice(["ad", "share", "aside", "notice"])) if rng.random() < 0.8 else self.form())
+                out.append(self.noise(rng.choice(["ad", "share", "aside", "notice"])) if rng.random() < 0.7 else self.form())
         if rng.random() < 0.2:
-            out.append(self.noise("comments"))
+            out.append(self.comments() if rng.random() < 0.5 else self.noise("comments"))
         body = "".join(out)
         wrap = rng.random()
-        if wrap < 0.4:
+        if wrap < 0.25:
             return f"<article>{body}</article>"
-        if wrap < 0.5:
-            return f"<main>{body}</main>"
-        if wrap < 0.65:
+        if wrap < 0.38:
+            return f"<main{rng.choice(['', self.vague()])}>{body}</main>"
+        if wrap < 0.52:
+            return body
+        if wrap < 0.67:
             return f'<div {rng.choice(["class", "id"])}="{rng.choice(CONTENT_NAMES)}">{body}</div>'
         tags = rng.choices(["div", "section"], weights=[3, 1], k=rng.randint(1, 4))
         return "".join(f"<{t}{self.vague()}>" for t in tags) + body + "".join(f"</{t}>" for t in reversed(tags))
@@ -131,9 +164,14 @@ class _Page:
         some = lambda kind, p: self.noise(kind) if rng.random() < p else ""
         top = some("notice", 0.2) + some("header", 0.4) + some("nav", 0.7) + some("ad", 0.4) + some("aside", 0.2)
         low = some("share", 0.2) + some("comments", 0.35) + some("aside", 0.3) + some("ad", 0.2) + (self.form() if rng.random() < 0.2 else "") + some("notice", 0.1) + some("footer", 0.8)
-        inner = f"{top}{self.article()}{low}"
+        bounds = rng.random()
+        if bounds < 0.02:
+            return MARK + self.prose(10, 120)
+        if bounds < 0.3:  # nothing before, nothing behind, or neither
+            top, low = ("", low) if bounds < 0.12 else (top, "") if bounds < 0.2 else ("", "")
+        inner = f"{top}{self.loose() if rng.random() < 0.12 else self.article()}{low}"
         if rng.random() < 0.1:  # a table as the page's frame
-            inner = f"<table><tr><td{self.vague()}>{some('nav', 0.8)}{some('aside', 0.5)}</td><td{self.vague()}>{self.article()}</td><td>{some('ad', 0.6)}</td></tr></table>{some('footer', 0.8)}"
+            inner = f"<table><tr><td{self.vague()}>{some('nav', 0.8)}{some('aside', 0.5)}</td><td{self.vague()}>{self.article()}</td><td>{some('ad', 0.6)}</td></tr>" + (f"<tr><td colspan=3>{rng.choice(['&copy;', 'Copyright'])} {rng.randint(1996, 2026)} {self.label()}. {self.prose(2, 12)}</td></tr></table>" if rng.random() < 0.4 else f"</table>{some('footer', 0.8)}")
         return f"<html><head><title>{self.label()}</title><style>p{{}}</style></head><body>{inner}" + ("</body></html>" if rng.random() < 0.8 else "")
 
     def other(self) -> str:
