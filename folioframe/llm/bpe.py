@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import lone, per_text
 
 #: Bytes, by estimate, of one generation of a worker's memo; two generations are kept.
-MEMO_BYTES = 12 << 20
+MEMO_BYTES = 24 << 20
 
 _FRAGMENT = re.compile("[^ \t\n\r\f\v]+")
 #: Letters for which lower-casing and the word pattern below agree with the
