@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Names of number formats, and the roles of the levels of one proven list.
 DECIMAL, UPPER, LOWER = ("decimal", "decimalzero"), ("upperletter", "upperalpha"), ("lowerletter", "loweralpha")
+#: Level texts of a list's first levels, in a proven ladder and under a part alone (fixed values, too).
+FIRST_LEVEL, SECOND_LEVEL, PART_LEVEL = r"(?i)^\s*(?:PART\s+)?%1\s*\.?\s*$", r"^\s*%1\s*\.\s*%2\s*$", r"(?i)^\s*PART\s+%1\s*[-\x{2010}-\x{2015}:]?\s*$"
 LEVEL_ROLES = ("PART", "ARTICLE", "PARAGRAPH", "SUBPARAGRAPH", "SUBSUBPARAGRAPH", "SUBPARAGRAPH_LEVEL_5", "SUBPARAGRAPH_LEVEL_6", "SUBPARAGRAPH_LEVEL_7", "SUBPARAGRAPH_LEVEL_8")
 
 
@@ -62,9 +64,9 @@ def list_roles(levels: DataFrame, keys: list[str]) -> DataFrame:
         return F.coalesce(F.max(F.when(level == at, told)).over(whole), F.lit(False))
 
     dotted = decimal & F.rlike(t, _own(r"^\s*\.\s*", level, r"\s*$"))
-    ladder = proven(0, decimal & t.rlike(r"(?i)^\s*(?:PART\s+)?%1\s*\.?\s*$")) & proven(1, decimal & t.rlike(r"^\s*%1\s*\.\s*%2\s*$")) & proven(2, dotted)
+    ladder = proven(0, decimal & t.rlike(FIRST_LEVEL)) & proven(1, decimal & t.rlike(SECOND_LEVEL)) & proven(2, dotted)
     steps = F.sum(F.when((level >= 2) & dotted, 1).otherwise(0)).over(whole.orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
-    under_part = proven(0, decimal & t.rlike(r"(?i)^\s*PART\s+%1\s*[-\x{2010}-\x{2015}:]?\s*$"))
+    under_part = proven(0, decimal & t.rlike(PART_LEVEL))
     article = under_part & (level >= 2) & decimal & F.rlike(t, _own(r"^\s*%1\s*\.\s*", level, r"\s*$"))
     by_place = F.get(F.array(*map(F.lit, LEVEL_ROLES)), level)
     role = F.coalesce(role_of_signature(F.col("format"), t, level), F.when(article, "ARTICLE"), F.when(ladder & ((level < 2) | (steps == level - 1)), by_place))

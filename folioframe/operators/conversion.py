@@ -12,19 +12,22 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, textnodes
 
-# What is typed before a paragraph of each role, and before any.
-TYPED = {
-    "PART": r"^((?i:PART)\s+(?:\d+|(?i:[IVXLCDM]+)))(?=[\s:\x{2010}-\x{2015}-]|$)",
-    "ARTICLE": r"^(\d{1,2}\.\d{1,3})(?=\s|$)",
-    "PARAGRAPH": r"^([A-Z]\.|\.\d+)(?=\s|$)",
-    "SUBPARAGRAPH": r"^(\d+\.|\.\d+)(?=\s|$)",
-    "SUBSUBPARAGRAPH": r"^([a-z]\.|\.\d+)(?=\s|$)",
-    "SUBPARAGRAPH_LEVEL_5": r"^(\d+\)|\.\d+)(?=\s|$)",
-    "SUBPARAGRAPH_LEVEL_6": r"^([a-z]\)|\.\d+)(?=\s|$)",
-    "SUBPARAGRAPH_LEVEL_7": r"^(\(\d+\)|\.\d+)(?=\s|$)",
-    "SUBPARAGRAPH_LEVEL_8": r"^(\([a-z]\)|\.\d+)(?=\s|$)",
+# What is typed before a paragraph of each role; a part's label ends otherwise than the others.
+LABELS = {
+    "ARTICLE": (r"\d{1,2}\.\d{1,3}",),
+    "PARAGRAPH": (r"[A-Z]\.", r"\.\d+"),
+    "SUBPARAGRAPH": (r"\d+\.", r"\.\d+"),
+    "SUBSUBPARAGRAPH": (r"[a-z]\.", r"\.\d+"),
+    "SUBPARAGRAPH_LEVEL_5": (r"\d+\)", r"\.\d+"),
+    "SUBPARAGRAPH_LEVEL_6": (r"[a-z]\)", r"\.\d+"),
+    "SUBPARAGRAPH_LEVEL_7": (r"\(\d+\)", r"\.\d+"),
+    "SUBPARAGRAPH_LEVEL_8": (r"\([a-z]\)", r"\.\d+"),
 }
-ANY = r"^(?:\d{1,2}\.\d{1,3}|\.\d+|\([0-9]+\)|\([a-z]\)|[A-Za-z][.)]|\d+[.)])(?=\s|$)"
+PART_LABEL = r"^((?i:PART)\s+(?:\d+|(?i:[IVXLCDM]+)))(?=[\s:\x{2010}-\x{2015}-]|$)"
+
+TYPED = {"PART": PART_LABEL} | {role: rf"^({'|'.join(labels)})(?=\s|$)" for role, labels in LABELS.items()}
+#: Any of these labels, and a capital with a bracket, which is no role's.
+ANY = rf"^(?:{'|'.join(dict.fromkeys([x for labels in LABELS.values() for x in labels] + [r'[A-Z][)]']))})(?=\s|$)"
 
 _TRACKED = r"<w:(?:ins|del|moveFrom|moveTo|instrText|fldChar|fldSimple)\b"
 _BEFORE_NUMBER = re.compile(r"(?:\s*<w:(?:pStyle|keepNext|keepLines|pageBreakBefore|framePr|widowControl)\b[^>]*/>)*")

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
 
-# Beginnings of texts that are numbered by hand.
-BY_HAND = r"(?i)^(?:SECTION\s+\d(?:[\d ]*\d)?(?:\s*[-:])?\s|PART\s+\d+\b|\d+\.\d+\s|[A-Z]\.\s|\d+\.\s|\.\d+\s|\(\d+\)\s|\([A-Z]+\)\s|[ivxlcdm]+[.)]\s)"
+# First words that number a text by hand.
+FIRST_WORDS = ("[0-9]+[.][0-9]+", "[a-z][.]", "[0-9]+[.]", "[.][0-9]+", "[(][0-9]+[)]", "[(][a-z]+[)]", "[ivxlcdm]+[.)]")
 NOT_TAKEN = ("pStyle", "numPr", "sectPr", "pPrChange", "rPr")
 
 
+def by_hand(text: Column) -> Column:
+    """Whether a number is typed before a text: as its first word, or behind PART or SECTION, with white space after it (but for a part's)."""
+    words = F.split(F.lower(F.regexp_replace(F.ltrim(text), r"\s+", " ")), " ")
+    first, second = (F.coalesce(F.get(words, F.lit(i)), F.lit("")) for i in (0, 1))
+    numbered = first.rlike(f"^(?:{'|'.join(FIRST_WORDS)})$") & (F.size(words) > 1)
+    return F.coalesce(numbered | ((first == "part") & second.rlike(r"^[0-9]+\b")) | ((first == "section") & second.rlike("^[0-9]+[-:]?$") & (F.size(words) > 2)), F.lit(False))
+
+
 def entries(exemplars: DataFrame, profile: DataFrame, style_numbering: DataFrame) -> DataFrame:
     """``path, role, style_id, paragraph_index, provenance, num_id, level``: one row a role.
 
@@ -26,7 +34,7 @@ def entries(exemplars: DataFrame, profile: DataFrame, style_numbering: DataFrame
     told = one.join(profile.select("path", "paragraph_index", "text", "hints"), ["path", "paragraph_index"], "left")
     told = told.join(style_numbering.select("path", "style_id", F.col("num_id").alias("s_num"), F.col("level").alias("s_level")), ["path", "style_id"], "left")
     direct, styled = F.coalesce("hints.num_id", "hints.level").isNotNull(), F.coalesce("s_num", "s_level").isNotNull()
-    provenance = F.when(direct, "direct_numpr").when(styled, "style_numpr").when(F.ltrim("text").rlike(BY_HAND), "text_literal").otherwise("none")
+    provenance = F.when(direct, "direct_numpr").when(styled, "style_numpr").when(by_hand(F.col("text")), "text_literal").otherwise("none")
     number = F.when(direct | styled, F.coalesce("hints.num_id", "s_num"))
     return told.select("path", "role", "style_id", "paragraph_index", provenance.alias("provenance"), number.alias("num_id"), F.when(direct | styled, F.coalesce("hints.level", "s_level", F.lit("0"))).alias("level"))
 

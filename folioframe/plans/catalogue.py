@@ -11,13 +11,23 @@ from ..sources.tables import doc_lines, sql, table
 from ..sources.tables import outline as outline_view
 from . import contracts, evidence, made_packages, proofs, transforms  # noqa: F401  the last adds its statements
 from .dialects import Duck, Spark
-from .outline_sql import CLEAN, COUNTED, GATED, LABEL, MARKED, NUMBER
+from .outline_sql import COUNTED, GATED, LABEL, MARKED, NUMBER
 from .statements import STATEMENTS
 
 
+#: Lines of every class that stand for some of the documents' own, whose prose has none; by document and line.
+PLANTED = (
+    "[Coordinate with drawings.]", "SPECIFICATION  Editor Note : pick one", "Spec note: x", "Hidden specifier instruction here", "Copyright 2020 by The Institute", "Exclusively published and distributed by The Press", "Retain first option.", "Retainer first",
+    "Delete subparagraphs below.", "OPTION: gravel may be used", "It requires calculating and detailing at each use.", " \u00a0 ", "Copyright by nobody", "a cell", "Verify that Section numbers agree", "Hidden editor notes",
+)
+
+
 def disposition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by what becomes of them; every 31st line on is one of ``PLANTED``, the 14th of these in a table."""
     lines = doc_lines(table(spark, sf_dir, "documents"))
-    told = lines.withColumn("disposition", F.coalesce(roles.skip_reason(F.col("text")), F.lit("candidate")))
+    at = F.pmod(F.col("doc_id") + F.col("paragraph_index"), F.lit(31)).cast("int")
+    lines = lines.withColumn("text", F.when(at < len(PLANTED), F.get(F.array(*map(F.lit, PLANTED)), at)).otherwise(F.col("text")))
+    told = lines.withColumn("disposition", F.coalesce(roles.skip_reason(F.col("text"), at == 13), F.lit("candidate")))
     return told.groupBy("disposition").agg(F.count("*").alias("paragraphs"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -162,15 +172,12 @@ def _said(text: str):
 
 QUERIES = {name: _said(f(Spark)) for name, f in STATEMENTS.items()} | {f.__name__: f for f in _FRAME} | evidence.QUERIES | proofs.QUERIES | made_packages.QUERIES
 
-_LOW = "lower(t)"
 _CHUNKS = """
     rows_ AS (SELECT conv_id, turn, role, text, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS g FROM conversations),
     chunked AS (SELECT g, conv_id, role, CAST(floor(g / 10) AS BIGINT) - k AS chunk FROM rows_ CROSS JOIN (VALUES (0), (1), (2)) o(k) WHERE floor(g / 10) - k >= 0)"""
 
 
-def _matches(patterns: tuple[str, ...]) -> str:
-    return " OR ".join(f"regexp_matches(t, '{p}')" for p in patterns)
-
+_CLASSES = ("editor_note", "editor_note", "editor_note", "editor_note", "copyright_notice", "copyright_notice", "specifier_note", "candidate", "specifier_note", "specifier_note", "specifier_note", "empty", "candidate", "in_table", "specifier_note", "candidate")
 
 _AFTER = """a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 17 <> 0
     UNION ALL SELECT -o_orderkey - 1, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 19 = 0),
@@ -179,12 +186,11 @@ _AFTER = """a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN o_t
   r AS (SELECT o_orderkey, kind, CASE WHEN kind = 'changed' THEN concat_ws(',', CASE WHEN dp THEN 'o_totalprice' END, CASE WHEN ds THEN 'o_orderstatus' END) ELSE '' END AS changed FROM d WHERE kind IS NOT NULL)"""
 
 ORACLES = {name: f(Duck) for name, f in STATEMENTS.items()} | {
+    # The planted lines' classes by hand; the documents' own prose has no notes.
     "disposition_audit": f"""
-        WITH l AS ({Duck.lines}), c AS (SELECT doc_id, line, {CLEAN.format(x='line')} AS t FROM l)
-        SELECT CASE WHEN t = '' THEN 'empty' WHEN {_matches(roles.EDITOR_NOTES)} THEN 'editor_note' WHEN {_matches(roles.NOTICES)} THEN 'copyright_notice'
-          WHEN {_matches(roles.SPECIFIER_NOTES)} OR (({_LOW} LIKE '%paragraph below%' OR {_LOW} LIKE '%paragraphs below%') AND ({_LOW} LIKE '%retain%' OR {_LOW} LIKE '%revise%' OR {_LOW} LIKE '%delete%' OR {_LOW} LIKE '%insert%'))
-            OR (starts_with({_LOW}, 'option:') AND {_LOW} LIKE '%may be used%') THEN 'specifier_note'
-          ELSE 'candidate' END AS disposition, count(*) AS paragraphs, count(DISTINCT doc_id) AS docs, CAST(sum(length(line)) AS BIGINT) AS chars FROM c GROUP BY 1""",
+        WITH l AS ({Duck.lines}), p(nth, line, d) AS (VALUES {', '.join(f"({i}, '{x}', '{d}')" for i, (x, d) in enumerate(zip(PLANTED, _CLASSES)))}),
+        c AS (SELECT doc_id, coalesce(p.line, l.line) AS line, coalesce(p.d, CASE WHEN trim(l.line) = '' THEN 'empty' ELSE 'candidate' END) AS disposition FROM l LEFT JOIN p ON (doc_id + paragraph_index) % 31 = nth)
+        SELECT disposition, count(*) AS paragraphs, count(DISTINCT doc_id) AS docs, CAST(sum(length(line)) AS BIGINT) AS chars FROM c GROUP BY 1""",
     "token_budget": "SELECT doc_id, CAST(coalesce(length(text), 0) // 4 AS BIGINT) AS est_tokens, CAST(coalesce(length(text), 0) // 3 AS BIGINT) AS target_tokens, coalesce(length(text), 0) // 4 > 150000 AS over_budget FROM documents",
     "consensus": """
         WITH s AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders), y AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS y FROM orders),

@@ -18,6 +18,10 @@ def statement(f):
 @statement
 def boilerplate_strip(d):
     """Separators, page numbers, revision marks and hidden-text marks are taken out one after the other."""
+    # Every 13th line on has a mark behind it, or is one.
+    marks = ("' page 3 of 9'", "' ===== rev. 2'", "' <<hidden>>'", "' Page 1 of 2 <<<<a>> rev 7'")
+    case = " ".join(f"WHEN {i} THEN concat(line, {m})" for i, m in enumerate(marks))
+    planted = f"SELECT CASE (doc_id + paragraph_index) % 13 {case} WHEN 4 THEN '--------' ELSE line END AS line FROM ({d.lines}) o"
     step = "line"
     flags = []
     for tag, pattern in (("separator", "[*=-]{4,}"), ("page_number", "(?i)page [0-9]+ of [0-9]+"), ("revision_mark", "(?i)rev[.] ?[0-9]+"), ("hidden_text", "(?i)<<[^<>]*>>")):
@@ -25,7 +29,7 @@ def boilerplate_strip(d):
         step = d.gsub(step, pattern, "")
     return f"""
         SELECT tags, count(*) AS n_lines, CAST(sum(length(line) - length(kept)) AS BIGINT) AS removed_chars, CAST(sum(CASE WHEN trim(kept) = '' AND trim(line) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS emptied
-        FROM (SELECT line, {step} AS kept, concat({', '.join(flags)}) AS tags FROM ({d.lines}) l) t GROUP BY tags"""
+        FROM (SELECT line, {step} AS kept, concat({', '.join(flags)}) AS tags FROM ({planted}) l) t GROUP BY tags"""
 
 
 @statement
