@@ -13,14 +13,17 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of what they decode to, of every document (null text: empty)."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document of each group of equal texts stays: the one with the largest id (null text: empty)."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those with another remainder of crc32 than 0 by 5; ``und`` without letters."""
     docs = table(spark, sf_dir, "documents")
     model = langid.profiles(docs.where(~langid.held_out()))
     marked = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
@@ -28,31 +31,38 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the least id that is reachable over fingerprints of two or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, near its source's target; a null source is the last."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page (null html: empty)."""
     return html_crf.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edit, and how alike they and the next document's are."""
     return fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law ``rows``: counts of the eight shards at most one apart."""
     got = sharding.assign(table(spark, sf_dir, "documents"), shards=8)
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by encoded length, with the sums from each length on."""
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url; an empty host with a path goes to the regression like any other."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 

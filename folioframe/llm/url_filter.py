@@ -37,20 +37,22 @@ RULES = (
 # money, goods, fraud, copies.  Bait: words that such hosts add to any other.
 _UNWANTED = (
     "adult porn porno xxx sex sexy sexcam nude nudes escort escorts milf fetish erotic hookup camgirl webcamsex singles slut "
-    "bet bets bets10 betting sportbet bookmaker casino casinos gamble gambler gambling jackpot lottery lotto poker roulette slot slots blackjack bingo wager "
-    "pill pills pharma meds medz viagra cialis levitra xanax tramadol steroids weed drugs painkillers rx "
+    "bet bets bets10 sportbet bookmaker casino casinos gamble gambler jackpot lottery lotto poker roulette slot slots blackjack bingo wager "
+    "pill pills pharma medz viagra cialis levitra xanax tramadol steroids weed drugs painkillers rx "
     "loan loans payday cash crypto bitcoin forex pyramid getrich invest millionaire debt "
-    "replica replicas fake fakes counterfeit knockoff spam spamfarm phish phishing scam malware virus trojan keylogger botnet hack hacked hacks "
+    "replica replicas fake fakes counterfeit knockoff spam spamfarm phishing scam malware virus trojan keylogger botnet hack hacked hacks "
     "crack cracked cracks keygen serialz warez torrent torrents nulled pirate iptv"
 ).split()
 _BAIT = "cheap free buy hot win prize best fast easy instant money secret login verify account secure update bonus deal now online 24 4u x vip club".split()
 _ORDINARY = (
-    "archive art atlas autumn bakery beta better betty alphabet bicycle bird blog book books bridge cabinet camera castle cello chapel chess city class classic coast cocktail coffee college compass cooking cotton country craft dance design "
-    "docs doctor essex sussex middlesex sextant essence expert exchange farm field film finance flower forest forum garden geology glass government harbor health history horse hospital house institute island jazz journal kitchen lake language "
-    "law library light lunch maps market math medicine medieval meadow metal mountain museum music nature news ocean office opera orchard paint paper park pharmacology photo physics piano pilot plant planet pokeranch poetry pottery press "
-    "radio railway ranch recipes research review river road sail school science seminar shop slotted slope spoons sport station stone street study summer system tax teacher theatre therapist tools torque tourism town travel tree "
+    "archive art atlas autumn bakery beta better betty bicycle bird blog book books bridge cabinet camera castle cello chapel chess city class classic coast cocktail coffee college compass cooking cotton country craft dance design "
+    "docs doctor sextant essence expert exchange farm field film finance flower forest forum garden geology glass harbor health history horse hospital house institute island jazz journal kitchen lake language "
+    "law library light lunch maps market math medicine medieval meadow metal mountain museum music nature news ocean office opera orchard paint paper park pharmacology photo physics piano pilot plant planet poetry pottery press "
+    "radio railway ranch recipes research review river road sail school science seminar shop slope sport station stone street study summer system tax teacher theatre therapist tools torque tourism town travel tree "
     "university valley village violin walking water weather web wiki winter wood workshop world writing yoga zoology"
 ).split()
+#: What places and families put before or behind any short syllable, also behind one that is a word above.
+_PLACE_STARTS, _PLACE_ENDS = "al bar ches dor el hert il kent lan mid nor ol somer suf tun wes".split(), "ady am aney bourne bury by combe dale don ell en er ers field ford gate ham hurst ier ingham ington land ley low man mere mouth ney nor on ridge sey shire side son stead stone ten ter thorpe ton tree vale ville wall well wick wood worth y".split()
 _SYLLABLES = "ther tion ing ed re on an en th ou st er at es or ha nd ti ble wh sh ly".split()
 _ONSETS = "b bl br c ch cl cr d dr f fl fr g gl gr h j k kn l m n p pl pr qu r s sc sh sk sl sp st str t th tr tw v w wh y z".split()
 _RIMES = "a ab ack ad ade ain al all am an and ane ar ark art ase ast ate ave ay e ea ead ear eat ed ee eel een en ent er est et ew i ice ick id ide ike ile ill im in ind ine ing ip ite o oad oat ob ock od og oint old on one ong ood ook oom oon op or ore ot ound out ow own u ub uck ue um un up ur ust ut y".split()
@@ -58,7 +60,7 @@ _SUFFIXES = "com net org info example.org example.net example.com".split()
 _PAGES = "about articles en de fr es blog news item page post topic guide help contact".split()
 
 
-def labelled_urls(n: int = 8000, seed: int = 3, part: int | None = None, of: int = 5) -> list[tuple[str, int]]:
+def labelled_urls(n: int = 12000, seed: int = 3, part: int | None = None, of: int = 5) -> list[tuple[str, int]]:
     """A small table (url, 1 = block), made by rule from words of hosts and paths.
 
     Every ``of``-th word of the unwanted and ordinary ones is left out with
@@ -68,11 +70,25 @@ def labelled_urls(n: int = 8000, seed: int = 3, part: int | None = None, of: int
     rng, rows = random.Random(seed), []
     use = lambda words: [w for i, w in enumerate(words) if part is None or (i % of == 0) == bool(part)]
     unwanted, ordinary = use(_UNWANTED), use(_ORDINARY)
+    short = [w for w in unwanted if len(w) <= 5]
+
+    def spelled(word: str) -> str:
+        """A word as those who hide it write it: digits for letters, k for c, a letter twice, an end more."""
+        kind = rng.random()
+        if kind < 0.08:
+            return "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if rng.random() < 0.5 else c for c in word)
+        if kind < 0.14:
+            return word.replace("c", "k").replace("ph", "f")
+        if kind < 0.2:
+            at = rng.randrange(len(word))
+            return word[: at + 1] + word[at:]
+        return word + rng.choice(["s", "er", "z", "ing"]) if kind < 0.28 else word
+
     for i in range(n):
         bad = int(i % 5 < 2)
         name = "".join(rng.choice(_ONSETS) + rng.choice(_RIMES) for _ in range(rng.randint(1, 3)))
-        plain = rng.choice([rng.choice(ordinary), rng.choice(ordinary) + rng.choice(["", "-", ""]) + rng.choice(ordinary), "".join(rng.choices(_SYLLABLES, k=rng.randint(2, 4))), name, name + rng.choice(["", "-"]) + rng.choice(ordinary)])
-        word, glue = rng.choice(unwanted), rng.choice(["", "-", "-", ""])
+        plain = rng.choice([rng.choice(ordinary), rng.choice(ordinary) + rng.choice(["", "-", ""]) + rng.choice(ordinary), "".join(rng.choices(_SYLLABLES, k=rng.randint(2, 4))), name, name + rng.choice(["", "-"]) + rng.choice(ordinary), rng.choice(short) + rng.choice(_PLACE_ENDS), rng.choice(_PLACE_STARTS) + rng.choice(short)])
+        word, glue = spelled(rng.choice(unwanted)), rng.choice(["", "-", "-", ""])
         spam = rng.choice([word, rng.choice(_BAIT) + glue + word, word + glue + rng.choice(_BAIT), glue.join([rng.choice(_BAIT), word, rng.choice(_BAIT)]), word + glue + rng.choice(unwanted)])
         in_path = bad and rng.random() < 0.2
         host = rng.choice(["", "", "www.", "www.", "m.", "blog."]) + (spam if bad and not in_path else plain) + "." + rng.choice(_SUFFIXES)
