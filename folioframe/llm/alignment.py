@@ -28,7 +28,7 @@ from .bpe import _byte_letters
 from .common import pieces, spare, stored
 
 #: Bytes of fragment results after which a worker's memo begins anew.
-MEMO_BYTES = 96_000_000
+MEMO_BYTES = 160_000_000
 #: Parts that the links of one id pair are first summed in.
 SALTS = 16
 #: Most id pairs that are broadcast (24 bytes each); more are joined by a shuffle.
