@@ -120,7 +120,7 @@ def test_lists_share_their_fate(spark):
     paragraphs = spark.createDataFrame([("d", 0, "1", "PART", "PART", True), ("d", 1, "2", "PART", None, True), ("d", 2, "3", "PART", "PART", True), ("d", 3, None, None, None, None), ("d", 4, "5", "PART", "PART", None), ("d", 5, "6", None, None, True)], "path string, paragraph_index long, num_id string, role string, proven_role string, handled boolean")
     styles = spark.createDataFrame([("d", "S", "5"), ("d", "T", None), ("d", "U", "6"), ("d", "U", "3")], "path string, style string, num_id string")
     got = {(r.path, r.num_id): (r.paragraphs, r.convertible, r.reasons) for r in sharing.convertible_lists(paragraphs, numbers, styles).collect()}
-    assert got == {("d", "1"): (1, False, ["other_role"]), ("d", "2"): (1, False, ["other_role"]), ("d", "3"): (1, False, ["no_definition", "start"]), ("d", "4"): (0, False, ["override", "restart"]), ("d", "5"): (1, False, ["no_definition", "not_handled"]), ("d", "6"): (1, False, ["no_definition", "start"])}
+    assert got == {("d", "1"): (1, False, ["other_role"]), ("d", "2"): (1, False, ["other_role"]), ("d", "3"): (1, False, ["no_definition", "start"]), ("d", "4"): (0, False, ["override", "restart"]), ("d", "5"): (1, False, ["no_definition", "not_handled"]), ("d", "6"): (1, False, ["no_definition", "start"]), ("e", "1"): (0, False, ["no_definition"])}
 
 
 def test_bundle_from_file_to_file(spark, tmp_path):
