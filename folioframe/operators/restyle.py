@@ -157,6 +157,29 @@ def merged(target: DataFrame, template: DataFrame, key: str, winner: str, manage
     return target.unionByName(template.join(target, key, "left_anti").select(*target.columns))
 
 
+def content_type_problems(package_parts: DataFrame) -> DataFrame:
+    """``path, code, detail`` of content types: ``type_malformed``, ``type_twice``, ``type_of_nothing`` (declared, not there), ``no_type`` (there, not declared).
+
+    A part's declaration by name counts, letters folded, else its extension's;
+    the declarations themselves and trash items need none.
+    """
+    told = package_parts.where("part = '[Content_Types].xml'").select("path", markup.decoded(F.col("content")).alias("text"))
+    nodes = told.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"<(?:\w+:)?(?:Default|Override)\b[^>]*>"), 0)).alias("x"))
+    named = lambda a: F.nullif(F.regexp_extract("x", rf'\b{a}="([^"]*)"', 1), F.lit(""))
+    given = cut(nodes.select("path", F.col("x").rlike("Override").alias("one"), named("Extension").alias("ext"), named("PartName").alias("part"), named("ContentType").alias("type")))
+    key = F.when(F.col("one"), F.lower(F.regexp_replace(F.url_decode("part"), "^/", ""))).otherwise(F.concat(F.lit("*."), F.lower("ext")))
+    bad = F.col("type").isNull() | (F.col("one") & ~F.coalesce(F.col("part").startswith("/") & ~F.col("part").rlike("(^|/)[.][.](/|$)"), F.lit(False))) | (~F.col("one") & F.col("ext").isNull())
+    malformed = given.where(bad).select("path", F.lit("type_malformed").alias("code"), F.coalesce("part", "ext", F.lit("")).alias("detail"))
+    sound = cut(given.where(~bad).select("path", "one", key.alias("key")))
+    twice = sound.groupBy("path", "key").count().where("count > 1").select("path", F.lit("type_twice").alias("code"), F.col("key").alias("detail"))
+    have = cut(package_parts.where("part IS NOT NULL").select("path", "part", F.lower("part").alias("key")))
+    nothing = sound.where("one").join(have.select("path", "key"), ["path", "key"], "left_anti").select("path", F.lit("type_of_nothing").alias("code"), F.col("key").alias("detail")).distinct()
+    lower = have.where("part <> '[Content_Types].xml'").where(~F.col("part").rlike(r"^\[trash\]/[0-9A-Fa-f]{4}\.dat$"))
+    by_end = lower.withColumn("end", F.concat(F.lit("*."), F.regexp_extract("key", r"[.]([^./]*)$", 1)))
+    free = by_end.join(sound.select("path", "key"), ["path", "key"], "left_anti").join(sound.select("path", F.col("key").alias("end")), ["path", "end"], "left_anti")
+    return malformed.unionByName(twice).unionByName(nothing).unionByName(free.select("path", F.lit("no_type").alias("code"), F.col("part").alias("detail")))
+
+
 def package_problems(package_parts: DataFrame) -> DataFrame:
     """``path, code, detail`` of everything that is wrong with packages; all faults, not the first.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import markup, textnodes
+from ..functions import markup, ordering, textnodes
 from ..session import cut
 from ..sources import definitions, scanning
 
@@ -17,8 +17,9 @@ from ..sources import definitions, scanning
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _CONTENT = "application/vnd.openxmlformats-officedocument.wordprocessingml.{}+xml"
 IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "emf": "image/x-emf", "wmf": "image/x-wmf", "svg": "image/svg+xml"}
-BEHIND_TITLE = ("textDirection", "bidi", "rtlGutter", "docGrid", "printerSettings", "sectPrChange")
+BEHIND_TITLE = ordering.SECTION_ORDER[ordering.SECTION_ORDER.index("titlePg") + 1 :]
 
+_NUMBERING = "word/numbering.xml"
 _TYPES, _RELS, _MAIN = "[Content_Types].xml", "word/_rels/document.xml.rels", "word/document.xml"
 
 
@@ -231,13 +232,27 @@ def list_blocks(package_parts: DataFrame) -> DataFrame:
     return texts.mapInPandas(_lists, "path string, kind string, id long, abstract_id long, xml string")
 
 
+def _numbering_wired(target_parts: DataFrame, without: DataFrame) -> DataFrame:
+    """``path, part, content`` of the content types and relationships of ``without`` (path), with a numbering part among them."""
+    declared = f'<Override PartName="/{_NUMBERING}" ContentType="{_CONTENT.format("numbering")}"/></Types>'
+    related = f'<Relationship Id="rId_numbering" Type="{_OFFICE}/numbering" Target="numbering.xml"/></Relationships>'
+    empty = {_TYPES: '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"></Types>', _RELS: '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"></Relationships>'}
+    wanted = without.select("path", F.explode(F.array(F.lit(_TYPES), F.lit(_RELS))).alias("part"))
+    texts = wanted.join(target_parts.select("path", "part", markup.decoded(F.col("content")).alias("text")), ["path", "part"], "left")
+    text = F.coalesce("text", F.when(F.col("part") == _TYPES, empty[_TYPES]).otherwise(empty[_RELS]))
+    opened = F.regexp_replace(text, r"(<(Types|Relationships)\b[^>]*)/>\s*$", "$1></$2>")
+    full = F.when(F.col("part") == _TYPES, F.replace(opened, F.lit("</Types>"), F.lit(declared))).otherwise(F.replace(opened, F.lit("</Relationships>"), F.lit(related)))
+    return texts.select("path", "part", markup.encoded(full).alias("content"))
+
+
 def imported_lists(target_parts: DataFrame, template_parts: DataFrame, needed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``path, template, num_id, new_id`` and the numbering parts (``path, part, content``) that hold the lists under new ids.
 
     ``needed``: ``path, template, num_id``.  New ids follow the target's
     highest, in the order of the old ones; definitions come once a target and
     template, under an id and mark (nsid) of their own.  A list that the
-    template lacks is left out.  A target must have a numbering part.
+    template lacks is left out.  A target without a numbering part gets one,
+    and with it the rows that declare and relate it.
     """
     have, own = list_blocks(target_parts), list_blocks(template_parts).withColumnRenamed("path", "template")
     top = have.groupBy("path").pivot("kind", ["abstractNum", "num"]).agg(F.max("id"))
@@ -258,10 +273,12 @@ def imported_lists(target_parts: DataFrame, template_parts: DataFrame, needed: D
     def joined(rows: DataFrame, xml: Column, name: str) -> DataFrame:
         return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("new_id", xml.alias("xml")))), lambda s: s["xml"]), "").alias(name))
 
-    files = target_parts.where("part = 'word/numbering.xml'").select("path", "part", markup.decoded(F.col("content")).alias("text"))
+    files = target_parts.where(F.col("part") == _NUMBERING).select("path", "part", markup.decoded(F.col("content")).alias("text"))
+    without = cut(nums.select("path").distinct().join(files.select("path"), "path", "left_anti"))
+    files = files.unionByName(without.select("path", F.lit(_NUMBERING).alias("part"), F.lit('<w:numbering xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"></w:numbering>').alias("text")))
     files = files.join(joined(defs, def_xml, "defs"), "path").join(joined(nums, num_xml, "nums"), "path")
     # Definitions stand before all instances, instances before what ends the part.
     end = F.regexp_instr("text", F.lit("<w:numIdMacAtCleanup|</w:numbering>"))
     begin = F.regexp_instr("text", F.lit(r"<w:num\s|<w:numIdMacAtCleanup|</w:numbering>"))
     whole = F.concat(F.substr("text", F.lit(1), begin - 1), "defs", F.substr("text", begin, end - begin), "nums", F.substr("text", end))
-    return nums.select("path", "template", "num_id", F.col("new_id").cast("string").alias("new_id")), files.select("path", "part", markup.encoded(whole).alias("content"))
+    return nums.select("path", "template", "num_id", F.col("new_id").cast("string").alias("new_id")), files.select("path", "part", markup.encoded(whole).alias("content")).unionByName(_numbering_wired(target_parts, without))

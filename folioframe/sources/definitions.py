@@ -24,11 +24,17 @@ def _val(node: ElementTree.Element, *steps: str) -> str | None:
 
 def _style_rows(root: ElementTree.Element) -> Iterator[tuple]:
     for s in root.iter(f"{_W}style"):
-        yield (s.get(f"{_W}styleId"), s.get(f"{_W}type"), _val(s, "name"), _val(s, "basedOn"), _val(s, "next"), _val(s, "link"), s.get(f"{_W}default") in ("1", "true", "on"), _val(s, "pPr", "numPr", "numId"), _val(s, "pPr", "numPr", "ilvl"))
+        yield (s.get(f"{_W}styleId"), s.get(f"{_W}type"), _val(s, "name"), _val(s, "basedOn"), _val(s, "next"), _val(s, "link"), s.get(f"{_W}default") in ("1", "true", "on"), _val(s, "pPr", "numPr", "numId"), _val(s, "pPr", "numPr", "ilvl"), s.get(f"{_W}customStyle") in ("1", "true", "on"), _val(s, "uiPriority"), *(bool(_on(s, x)) for x in ("qFormat", "semiHidden", "unhideWhenUsed", "locked")))
+
+
+def _on(node: ElementTree.Element, name: str) -> bool | None:
+    """Whether an on-off property is on; None where it is absent."""
+    found = node.find(f"{_W}{name}")
+    return None if found is None else (found.get(f"{_W}val") or "true").lower() not in ("0", "false", "off", "none")
 
 
 def _level(owner: str | None, node: ElementTree.Element, kind: str) -> tuple:
-    return (kind, owner, None, node.get(f"{_W}ilvl"), _val(node, "start"), _val(node, "numFmt"), _val(node, "lvlText"))
+    return (kind, owner, None, node.get(f"{_W}ilvl"), _val(node, "start"), _val(node, "numFmt"), _val(node, "lvlText"), _val(node, "lvlRestart"), _val(node, "suff"), _on(node, "isLgl"), _val(node, "pStyle"))
 
 
 def _numbering_rows(root: ElementTree.Element) -> Iterator[tuple]:
@@ -36,11 +42,11 @@ def _numbering_rows(root: ElementTree.Element) -> Iterator[tuple]:
         yield from (_level(a.get(f"{_W}abstractNumId"), lvl, "level") for lvl in a.iter(f"{_W}lvl"))
     for n in root.iter(f"{_W}num"):
         own = n.get(f"{_W}numId")
-        yield ("num", own, _val(n, "abstractNumId"), None, None, None, None)
+        yield ("num", own, _val(n, "abstractNumId"), None, None, None, None, None, None, None, None)
         for o in n.iter(f"{_W}lvlOverride"):
             lvl = o.find(f"{_W}lvl")
-            _, _, _, _, start, fmt, text = _level(own, o if lvl is None else lvl, "override")
-            yield ("override", own, None, o.get(f"{_W}ilvl"), _val(o, "startOverride") or start, fmt, text)
+            _, _, _, _, start, *rest = _level(own, o if lvl is None else lvl, "override")
+            yield ("override", own, None, o.get(f"{_W}ilvl"), _val(o, "startOverride") or start, *rest)
 
 
 def _relationship_rows(root: ElementTree.Element) -> Iterator[tuple]:
@@ -63,12 +69,43 @@ def _read(package_parts: DataFrame, where: Column, rows: Callable, fields: str)
 
 def styles(package_parts: DataFrame) -> DataFrame:
     """One row per style definition, in any order."""
-    return _read(package_parts, F.col("part") == "word/styles.xml", _style_rows, "style_id string, type string, name string, based_on string, next string, link string, is_default boolean, num_id string, level string").drop("part")
+    return _read(package_parts, F.col("part") == "word/styles.xml", _style_rows, "style_id string, type string, name string, based_on string, next string, link string, is_default boolean, num_id string, level string, is_custom boolean, ui_priority string, quick boolean, hidden boolean, unhide boolean, locked boolean").drop("part")
+
+
+def table_styles(package_parts: DataFrame) -> DataFrame:
+    """The ``styles`` of tables."""
+    return styles(package_parts).where("type = 'table'")
+
+
+def _latent_rows(root: ElementTree.Element) -> Iterator[tuple]:
+    for latent in root.iter(f"{_W}latentStyles"):
+        for key, value in latent.attrib.items():
+            yield (None, key.removeprefix(_W), value)
+        for x in latent.iter(f"{_W}lsdException"):
+            yield from ((x.get(f"{_W}name"), key.removeprefix(_W), value) for key, value in x.attrib.items() if key != f"{_W}name")
+
+
+def latent_styles(package_parts: DataFrame) -> DataFrame:
+    """``path, name, attribute, value`` of the latent styles: a null name for what holds for all, else a style's exception."""
+    return _read(package_parts, F.col("part") == "word/styles.xml", _latent_rows, "name string, attribute string, value string").drop("part")
 
 
 def numbering(package_parts: DataFrame) -> DataFrame:
-    """``kind`` tells the rows apart: ``num`` (owner, abstract_id), ``level`` of an abstract and ``override`` of a num."""
-    return _read(package_parts, F.col("part") == "word/numbering.xml", _numbering_rows, "kind string, owner string, abstract_id string, level string, start string, format string, level_text string").drop("part")
+    """``kind`` tells the rows apart: ``num`` (owner, abstract_id), ``level`` of an abstract and ``override`` of a num.
+
+    Levels and overrides have ``start, format, level_text, restart, suffix,
+    legal`` and ``style``, the style that they number.
+    """
+    fields = "kind string, owner string, abstract_id string, level string, start string, format string, level_text string, restart string, suffix string, legal boolean, style string"
+    return _read(package_parts, F.col("part") == "word/numbering.xml", _numbering_rows, fields).drop("part")
+
+
+def numbering_in_use(numbers: DataFrame, used: DataFrame) -> DataFrame:
+    """The rows of ``numbering`` that the lists of ``used`` (path, num_id) need: themselves, their overrides, their definitions' levels."""
+    wanted = used.select("path", F.col("num_id").alias("owner")).where("owner IS NOT NULL").distinct()
+    own = numbers.where("kind IN ('num', 'override')").join(wanted, ["path", "owner"], "left_semi")
+    defs = own.where("kind = 'num'").select("path", F.col("abstract_id").alias("owner")).distinct()
+    return own.unionByName(numbers.where("kind = 'level'").join(defs, ["path", "owner"], "left_semi"))
 
 
 def _property_rows(kind: str, owner: str | None, node: ElementTree.Element | None) -> Iterator[tuple]:
