@@ -21,11 +21,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _byte_letters
-from .common import pieces, spare, stored
+from .common import lone, pieces, spare, stored
 
 #: Bytes of fragment results after which a worker's memo begins anew.
 MEMO_BYTES = 96_000_000
@@ -158,9 +159,9 @@ class _Fragments:
         self.number.update(zip(fragments, range(base, base + len(fragments))))
         before = np.cumsum(groups) - groups
         for held, new in zip(self.parts, (a, b, ga - before[a_of], gb - before[b_of], a[la], b[lb])):
-            held.append(new)
+            held.append(new.astype(np.int32))
         for k, v in zip(self.sizes, (count(a_of), count(b_of), groups, count(a_of[la]))):
-            self.sizes[k].append(v)
+            self.sizes[k].append(v.astype(np.int32))
         self.right.append(right)
         self.texts += self._written(a, b, ga, gb, groups)
         self.held += 16 * (len(a) + len(b) + len(la)) + sum(map(len, fragments)) * 6 + 300 * len(fragments)
@@ -200,12 +201,13 @@ class _Fragments:
     def flat(self):
         if self._flat is None:
             sizes = {k: np.concatenate(v) for k, v in self.sizes.items()}
+            starts = {k: np.cumsum(v, dtype=np.int64) - v for k, v in sizes.items()}
             for k, v in sizes.items():
                 self.sizes[k] = [v]
             for i, x in enumerate(self.parts):
                 self.parts[i] = [np.concatenate(x)]
             self.right = [np.concatenate(self.right)]
-            self._flat = dict(zip(self.NAMES, (x[0] for x in self.parts))), sizes, {k: np.cumsum(v) - v for k, v in sizes.items()}, self.right[0]
+            self._flat = dict(zip(self.NAMES, (x[0] for x in self.parts))), sizes, starts, self.right[0]
         return self._flat
 
     def gather(self, name: str, size: str, numbers: np.ndarray) -> np.ndarray:
@@ -236,9 +238,10 @@ class Aligner:
 
 def _run(make: Callable, names: list[str], fields: dict[str, pa.DataType], rows: Callable):
     """Map function over kept columns and a text: ``rows`` gives the fields' columns for a batch's fragment numbers."""
+    which = ("aligner", cloudpickle.dumps(make))  # a worker keeps the tokenizers and their memo from task to task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*make())
+        aligner = lone(which, lambda: Aligner(*make()))
         for batch in chain.from_iterable(map(pieces, batches)):
             *kept, texts = batch.columns
             numbers = aligner.batch(texts.to_pylist())
@@ -268,7 +271,7 @@ def _pairs(memo: _Fragments, numbers: list[np.ndarray]) -> tuple[pa.ListArray, p
     """Each text's distinct linked id pairs, B's id in the upper half of a long, and how often each occurs."""
     sizes = memo.flat()[1]["links"]
     every = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
-    key = memo.gather("lb", "links", every) << 32 | memo.gather("la", "links", every)
+    key = memo.gather("lb", "links", every).astype(np.int64) << 32 | memo.gather("la", "links", every)
     of = np.repeat(np.repeat(np.arange(len(numbers)), [len(n) for n in numbers]), sizes[every])
     order = np.lexsort((key, of))
     key, of = key[order], of[order]
