@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..sources.tables import OUTLINE
-
 STATEMENTS: dict = {}
 
 
