@@ -118,7 +118,8 @@ def links(fingerprints: DataFrame, fp_col: str = "fp", threshold: int = THRESHOL
     homes = own.mapInArrow(_placed(None), "fp long, anchor long").select("anchor", F.col("fp").alias("x"))
     others = own.mapInArrow(_placed(threshold), "fp long, anchor long").select("anchor", F.col("fp").alias("y"))
     apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    met = homes.join(others, (homes.anchor == others.anchor) & (F.col("x") != F.col("y")) & (apart <= threshold))
+    # Sorted and merged: Spark takes the replicated rows for as few as the fingerprints and would send them whole through the driver.
+    met = homes.join(others.hint("merge"), (homes.anchor == others.anchor) & (F.col("x") != F.col("y")) & (apart <= threshold))
     return met.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
 
 
