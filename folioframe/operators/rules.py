@@ -51,19 +51,22 @@ def outcomes(targets: DataFrame, run: str, succeeded: str) -> DataFrame:
     return counted.withColumn("status", F.when(F.col("failed") == 0, "succeeded").when(F.col("succeeded") == 0, "failed").otherwise("partial_failure"))
 
 
-def fresh_ids(wanted: DataFrame, taken: DataFrame, name: str) -> DataFrame:
-    """``name, id`` of the wanted names: eight hex digits of a digest that neither ``taken`` (``id``) nor each other have.
+def fresh_ids(wanted: DataFrame, taken: DataFrame, name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``within, name, id`` of the wanted names: eight hex digits of a digest that neither ``taken`` (``within, id``) nor each other have.
 
     A name whose digest is taken tries again with a number behind it; of names
-    that meet in one digest the least gets it.  Reruns agree.
+    that meet in one digest the least gets it.  Ids need to differ only where
+    the columns ``within`` are the same, and a name has one there; rows with a
+    null among these or as name have none.  Reruns agree.
     """
-    left = cut(wanted.select(name).where(F.col(name).isNotNull()).distinct())
-    used, out, salt = taken.select("id").distinct(), None, 0
+    own = [*within, name]
+    left = cut(wanted.select(*own).dropna().distinct())
+    used, out, salt = taken.select(*within, "id").distinct(), None, 0
     while not left.isEmpty():
         tried = left.withColumn("id", F.upper(F.left(F.sha1(F.concat(name, F.lit(f"#{salt}" if salt else ""))), F.lit(8))))
-        won = cut(tried.join(used, "id", "left_anti").groupBy("id").agg(F.min(name).alias(name)).select(name, "id"))
-        left = cut(left.join(won, name, "left_anti"))
-        out, used, salt = won if out is None else out.unionByName(won), used.unionByName(won.select("id")), salt + 1
+        won = cut(tried.join(used, [*within, "id"], "left_anti").groupBy(*within, "id").agg(F.min(name).alias(name)).select(*own, "id"))
+        left = cut(left.join(won, own, "left_anti"))
+        out, used, salt = won if out is None else out.unionByName(won), used.unionByName(won.select(*within, "id")), salt + 1
     return out if out is not None else left.withColumn("id", F.lit(None).cast("string"))
 
 
