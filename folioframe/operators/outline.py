@@ -164,6 +164,32 @@ def sequence_faults(paragraphs: DataFrame) -> DataFrame:
     return known.select("doc_id", "paragraph_index", "role", F.explode(codes).alias("code"))
 
 
+def with_text_at(paragraphs: DataFrame, further: int, text_there: str, last: str) -> DataFrame:
+    """``paragraphs`` with the text of the paragraph whose index is ``further`` on (null: none) and their document's last index.
+
+    Windows by document, so the text isn't looked up by a join.
+    """
+    there = Window.partitionBy("doc_id").orderBy("paragraph_index").rangeBetween(further, further)
+    return paragraphs.withColumn(text_there, F.first("text").over(there)).withColumn(last, F.max("paragraph_index").over(Window.partitionBy("doc_id")))
+
+
+def index_faults(given: DataFrame) -> DataFrame:
+    """``doc_id, at, code``: what is wrong with instructions that give a paragraph a style.
+
+    ``given``: ``doc_id, at, style, last, text`` (the index told, the last one
+    that the document has, the text at the index).  ``out_of_range``, ``blank``
+    and ``excluded`` are told of each instruction, ``two_styles`` once of an
+    index that is given several.
+    """
+    index = Window.partitionBy("doc_id", "at")
+    rows = given.withColumn("nth", F.row_number().over(index.orderBy("style"))).withColumn("low", F.min("style").over(index)).withColumn("high", F.max("style").over(index))
+    codes = F.array_compact(F.array(
+        F.when(F.col("at") > F.col("last"), "out_of_range"), F.when((F.col("at") <= F.col("last")) & (F.trim("text") == ""), "blank"),
+        F.when(F.col("text").startswith("["), "excluded"), F.when((F.col("nth") == 1) & (F.col("low") != F.col("high")), "two_styles"),
+    ))
+    return rows.select("doc_id", "at", F.explode(codes).alias("code"))
+
+
 def conversion_plan(paragraphs: DataFrame) -> DataFrame:
     """``doc_id, paragraph_index, depth, nth, body``: what each typed marker of the three upper levels becomes.
 
