@@ -39,6 +39,14 @@ def uncovered(required: DataFrame, covered: DataFrame, keys: list[str]) -> DataF
     return required.join(covered.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def dangling(references: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """``key, uses``: keys that are referred to and have no target; a null key never has one.
+
+    References are counted first, so the join has a row a key.
+    """
+    return references.groupBy(key).agg(F.count("*").alias("uses")).join(targets.select(key).distinct(), key, "left_anti")
+
+
 def duplicates(rows: DataFrame, key: str, first: str) -> DataFrame:
     """``folded, n, first_id``: values of ``key`` that several rows have, letters folded; null equals null."""
     return rows.groupBy(F.lower(key).alias("folded")).agg(F.count("*").alias("n"), F.min(first).alias("first_id")).where("n > 1")
