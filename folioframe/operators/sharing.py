@@ -6,11 +6,16 @@ graph; a component is convertible only if each paragraph and list in it is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Why a list can't be turned over, in the order told; each is a bit of a list's mask.
+REASONS = ("no_definition", "not_handled", "other_role", "override", "restart", "start")
+
 
 def components(links: DataFrame, owner: str = "path") -> DataFrame:
     """``owner, node, root`` of the nodes that ``links`` (owner, src, dst) name; root is the least node that is connected, within an owner.
@@ -46,22 +51,27 @@ def convertible_lists(paragraphs: DataFrame, numbers: DataFrame, style_numbers:
     one anywhere in a component holds for all its lists.
     """
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    used = paragraphs.where("num_id IS NOT NULL")
-    lists = numbers.select("path", "num_id", "abstract_id").distinct()
-    links = (
-        lists.select("path", node("num", "num_id").alias("src"), F.coalesce(node("abstract", "abstract_id"), node("num", "num_id")).alias("dst"))
-        .unionByName(style_numbers.where("num_id IS NOT NULL").select("path", node("style", "style").alias("src"), node("num", "num_id").alias("dst")))
-        .unionByName(used.select("path", node("num", "num_id").alias("src"), node("num", "num_id").alias("dst")))
-    )
-    roots = cut(components(links).where("node LIKE 'num:%'").select("path", F.expr("substr(node, 5)").alias("num_id"), F.col("root").alias("component")))
-    keyed = used.withColumn("num_id", F.col("num_id").cast("string"))
-    wrong = F.array_compact(F.array(F.when(~F.coalesce("handled", F.lit(False)), "not_handled"), F.when(F.col("handled") & ~F.col("role").eqNullSafe(F.col("proven_role")), "other_role")))
-    of_paragraphs = keyed.select("path", "num_id", F.explode(wrong).alias("reason"))
-    bad = F.array_compact(F.array(F.when(F.col("abstract_id").isNull(), "no_definition"), F.when(F.coalesce(F.col("start"), F.lit("1")) != "1", "start"), F.when(F.coalesce("overridden", F.lit(False)), "override"), F.when(F.coalesce("restart", F.lit(False)), "restart")))
-    of_lists = numbers.withColumn("num_id", F.col("num_id").cast("string")).withColumn("start", F.col("start").cast("string")).select("path", "num_id", F.explode(bad).alias("reason"))
-    lacking = keyed.select("path", "num_id").distinct().join(numbers.select("path", F.col("num_id").cast("string").alias("num_id")).distinct(), ["path", "num_id"], "left_anti").withColumn("reason", F.lit("no_definition"))
-    reasons = of_paragraphs.unionByName(of_lists).unionByName(lacking).join(roots, ["path", "num_id"]).groupBy("path", "component").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
-    counted = keyed.groupBy("path", "num_id").agg(F.count("*").alias("paragraphs"))
-    told = roots.join(counted, ["path", "num_id"], "left").join(reasons, ["path", "component"], "left")
-    none = F.array().cast("array<string>")
-    return told.select("path", "num_id", "component", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), F.col("reasons").isNull().alias("convertible"), F.coalesce("reasons", none).alias("reasons"))
+    num, none = F.col("num_id").cast("string").alias("num_id"), F.lit(None)
+    handled = F.coalesce("handled", F.lit(False))
+    wrong = {"not_handled": ~handled, "other_role": handled & ~F.col("role").eqNullSafe(F.col("proven_role"))}
+    bad = {"no_definition": F.col("abstract_id").isNull(), "start": F.coalesce(F.col("start").cast("string"), F.lit("1")) != "1", "override": F.coalesce("overridden", F.lit(False)), "restart": F.coalesce("restart", F.lit(False))}
+    mask = lambda tests: reduce(lambda x, y: x.bitwiseOR(y), [F.when(bad, 1 << REASONS.index(r)).otherwise(0) for r, bad in tests.items()])
+    # What is known of a list, from all three tables, in one shuffle of one row a list and task.
+    facts = (
+        paragraphs.select("path", num, none.cast("string").alias("hub"), mask(wrong).alias("mask"), F.lit(1).cast("long").alias("used"), F.lit(False).alias("defined"))
+        .unionByName(numbers.select("path", num, node("abstract", "abstract_id").alias("hub"), mask(bad).alias("mask"), F.lit(0).cast("long").alias("used"), F.lit(True).alias("defined")))
+        .unionByName(style_numbers.select("path", num, node("style", "style").alias("hub"), F.lit(0).alias("mask"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("defined")))
+    ).where("num_id IS NOT NULL")
+    of_list = facts.groupBy("path", "num_id").agg(F.array_sort(F.collect_set("hub")).alias("hubs"), F.bit_or("mask").alias("mask"), F.sum("used").alias("used"), F.max("defined").alias("defined"))
+    undefined = F.when((F.col("used") > 0) & ~F.col("defined"), 1 << REASONS.index("no_definition")).otherwise(0)
+    own = cut(of_list.select("path", "num_id", "hubs", F.col("mask").bitwiseOR(undefined).alias("mask"), F.col("used").alias("paragraphs")))
+    # A list ties the first of its definitions and styles to the others; few are tied, so the rounds see little.
+    hub = F.get("hubs", F.lit(0))
+    ties = own.where("size(hubs) > 1").select("path", hub.alias("src"), F.explode(F.slice("hubs", 2, F.size("hubs"))).alias("dst")).distinct()
+    roots = components(ties).select("path", F.col("node").alias("hub"), "root")
+    lists = own.select("path", "num_id", "mask", "paragraphs", hub.alias("hub")).join(roots, ["path", "hub"], "left")
+    lists = lists.withColumn("root", F.coalesce("root", "hub", node("num", "num_id")))
+    whole = Window.partitionBy("path", "root")
+    told = lists.withColumn("component", F.min(F.least("root", node("num", "num_id"))).over(whole)).withColumn("mask", F.bit_or("mask").over(whole))
+    reasons = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) > 0, r) for i, r in enumerate(REASONS)]))
+    return told.select("path", "num_id", "component", "paragraphs", (F.col("mask") == 0).alias("convertible"), reasons.alias("reasons"))
