@@ -2,9 +2,11 @@
 
 Two texts are linked where the Jaccard similarity of their sets of five-word
 shingles is four fifths or more.  SimHash fingerprints of such pairs lie up to a
-dozen bits apart, too far for any anchor code of bearable size.  So texts with
-one nearest anchor (``simhash.anchors``, five words) meet, and with them texts
-that share a band of the bins of ``fingerprint.fingerprints``: 36 bands of seven
+dozen bits apart, too far for any anchor code of bearable size.  So texts meet
+that hang together by fingerprints within two bits, found by anchor-point
+covering in full (``simhash.links``, five words: each at its nearest anchor and at
+all within its own distance + 2), texts with one nearest anchor, and texts that
+share a band of the bins of ``fingerprint.fingerprints``: 36 bands of seven
 bins, 18 of neighbouring bins and 18 of bins 18 apart.  A pair at a similarity of
 0.8 shares no band once in some 5,000, at 0.85 once in some 400,000; this is the
 method's only loss.  Every pair is decided on the shingle sets, so none below
@@ -148,12 +150,14 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame) -> DataFrame:
     """``left, right`` that connect whatever alike rows of ``texts`` (key long, text) anchors and bands bring together."""
-    anchored = simhash.anchors(cut(simhash.fingerprints(texts, "key", words_per_shingle=WORDS_PER_SHINGLE)))
-    anchored = anchored.select(F.col("doc_id").alias("key"), F.xxhash64("anchor", F.lit("anchor")).alias("anchor"))
+    told = cut(simhash.fingerprints(texts, "key", words_per_shingle=WORDS_PER_SHINGLE))
+    # What the covering links is one group, whose texts are compared like a band's.
+    covered = components(simhash.links(told), "left", "right").select(F.col("node").alias("fp"), "root")
+    anchored = simhash.anchors(told).join(covered, "fp", "left").select(F.col("doc_id").alias("key"), F.array(F.xxhash64("anchor", F.lit("anchor")), F.xxhash64(F.coalesce("root", "fp"), F.lit("covered"))).alias("anchor"))
     named = fingerprint.fingerprints(texts.withColumn("key", F.struct("key", F.octet_length("text").alias("bytes"))), "key", words_per_shingle=WORDS_PER_SHINGLE)
     named = named.select("doc_id.*", _bands(F.col("bins")).alias("bands"))
     named = cut(named.join(anchored, "key"))
-    members = named.select("key", "bytes", F.posexplode(F.concat("bands", F.array("anchor"))).alias("no", "band"))
+    members = named.select("key", "bytes", F.posexplode(F.concat("bands", "anchor")).alias("no", "band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
     blocks = F.ceil(F.greatest(F.col("n") / FEW, F.col("bytes") / BYTES)).cast("long")
     # Written as a table, so that Spark knows its size and chooses the join by it.
