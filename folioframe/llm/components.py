@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, forget, stored, text_or_empty
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -29,13 +29,16 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
     """``node, root`` for every node of a link, root the least node reachable.
 
     Links have no direction; loops and repeats don't matter.  Each round at
-    least halves the longest way to a root; lineage is cut after each.
+    least halves the longest way to a root.  What a round leaves is written and
+    read again, as a checkpoint would keep Spark's estimate of its size: a
+    product over all joins before, with several times as many digits each round.
     """
     a, b = F.col(src), F.col(dst)
-    pairs = cut(links.where(a != b).select(F.greatest(a, b).alias("big"), F.least(a, b).alias("small")).distinct())
+    pairs = stored(links.where(a != b).select(F.greatest(a, b).alias("big"), F.least(a, b).alias("small")).distinct())
     total = None
     while True:
-        pairs = cut(_stars(pairs))
+        before, pairs = pairs, stored(_stars(pairs))
+        forget(links.sparkSession, before)
         # Done when every node has one root and no root has one of its own.
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
         if now == total:
